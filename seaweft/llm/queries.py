@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaweft.llm import byte_bpe, quality_classifier, quality_rules, toxicity
+from seaweft.llm import byte_bpe, mixing, quality_classifier, quality_rules, simhash, toxicity
 from seaweft.llm.common import crc_mod, read_table
 
 #: The multilingual rank file that encoding uses.
@@ -25,6 +25,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality_classifier.score(docs, quality_classifier.fit(docs, labels, mod=5, held=0)), 5, 0)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return quality_rules.apply(docs, quality_rules.fit(docs, labels))
@@ -39,5 +43,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.score(docs, toxicity.fit(docs, labels, mod=4, held=2)), 4, 2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op6_quality_rules, op7_byte_bpe, op9_toxicity)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op3_mixing, op6_quality_rules, op7_byte_bpe, op9_toxicity, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
