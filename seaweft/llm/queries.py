@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaweft.llm import byte_bpe, mixing, quality_classifier, quality_rules, simhash, toxicity
+from seaweft.llm import byte_bpe, imatch, licenses, mixing, quality_classifier, quality_rules, simhash, token_counts, toxicity, warc
 from seaweft.llm.common import crc_mod, read_table
 
 #: The multilingual rank file that encoding uses.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The vocabulary whose pieces the token counts use.
+PIECES = "piece_bpe_32k.model"
 
 
 def _predicted(scores: DataFrame, mod: int, held: int) -> DataFrame:
@@ -25,10 +27,25 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality_classifier.score(docs, quality_classifier.fit(docs, labels, mod=5, held=0)), 5, 0)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), token_counts.read_pieces(public_tokenizers.path(PIECES)))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(read_table(spark, sf_dir, "pages"))
+    size = F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes"))
+    digest = F.coalesce(F.sha2("payload", 256), F.col("payload_digest"))
+    return found.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return quality_rules.apply(docs, quality_rules.fit(docs, labels))
@@ -38,6 +55,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return imatch.compare_edited(docs, imatch.fit(docs))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return _predicted(toxicity.score(docs, toxicity.fit(docs, labels, mod=4, held=2)), 4, 2)
@@ -48,5 +70,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op3_mixing, op6_quality_rules, op7_byte_bpe, op9_toxicity, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_token_counts, op3_mixing, op4_warc, op5_license_scan,
+        op6_quality_rules, op7_byte_bpe, op8_imatch, op9_toxicity, op10_simhash,
+    )
+}
+
+#: SHA-256, revisits and offsets are exact, so SQL can say what reading the archives back must give.
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f""",
+}
