@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int =
     roots = components(links(kinds, max_bits=max_bits, listed_to=listed_to, block=block)).withColumnRenamed("node", "fp")
     lowest = kinds.join(roots, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = roots.join(lowest, "root").select("fp", "component_id")
-    named = kinds.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    # checkpointed, so that both sides of the last join are plain shuffles and Spark can split a fingerprint that many rows share
+    named = durable(kinds.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
