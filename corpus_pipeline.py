@@ -11,7 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seaweft.llm import byte_bpe, quality_rules, toxicity
+from seaweft.llm import byte_bpe, mixing, quality_rules, simhash, toxicity
 from seaweft.llm.common import read_table, shared_dir
 from seaweft.llm.queries import RANKS
 
@@ -26,12 +26,22 @@ def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, quality_rules.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, by SimHash over shingles of five words."""
+    return simhash.keep_one(docs, shingle=5)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight takes it: not at all, once or twice."""
+    return mixing.repeat(docs, mixing.mix(docs))
+
+
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to, for each copy."""
     return byte_bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_junk), ("byte_bpe", tokenise)]
+STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_junk), ("simhash", drop_near_duplicates), ("mixing", mix_sources), ("byte_bpe", tokenise)]
 
 #: SQL can't express the lexicon, the forest or the encoder; the tests hold the stages against brute force.
 ORACLE_SQL = None
