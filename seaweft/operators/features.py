@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seaweft.checkpoints import durable
 from seaweft.functions import scalar
 
 
@@ -91,9 +92,12 @@ def one_hot(df: DataFrame, column: str) -> DataFrame:
 
 def engineer(df: DataFrame, *, scaled: Sequence[str] = ("lat", "lon", "sog", "cog", "speedchange", "coursechange", "distfromreference"), encoded: Sequence[str] = ("timeofday", "maritimezone", "directionquadrant", "speed_category"), hot: Sequence[str] = ("timeofday", "maritimezone", "directionquadrant")) -> DataFrame:
     """All features of valid, deduplicated reports."""
-    out = scale(clip_outliers(impute(changes(places(calendar(df))))), scaled)
+    # every later step needs figures of the whole table, so what they are taken from is made once
+    out = durable(changes(places(calendar(df))))
+    out = durable(scale(clip_outliers(impute(out)), scaled))
     for c in encoded:
         out = factorise(out, c)
+    out = durable(out)
     for c in hot:
         out = one_hot(out, c)
     return out

@@ -10,6 +10,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seaweft.checkpoints import durable
 from seaweft.functions.scalar import alignment
 from seaweft.operators import grid, network, trajectory
 
@@ -141,21 +142,46 @@ def by_parameter(results: DataFrame, name: str) -> DataFrame:
 def sweep_waypoints(tol: DataFrame, gammas: Sequence[float], trial: Trial, *, weights: Sequence[tuple[float, float]] = ((1.0, 1.0),), low: float | None = None, high: float | None = None) -> DataFrame:
     """A row for each gamma and pair of weights: compression, clusters of the feature points, network, and score.
 
-    `tol` has the tolerances of all points (see trajectory.with_tolerance), so each gamma is a filter. Weights change
-    the score only, so clusters are made once for each gamma.
+    `tol` has the tolerances of all points (see trajectory.with_tolerance), so each gamma is a filter, and all gammas go
+    through the same few jobs together. Weights change the score only. The driver holds cells, at most k * k a gamma.
     """
+    spark, k = tol.sparkSession, trial.k
+    tol = durable(tol)
     total = trajectory.lengths(tol, ["trajectory_id"]).agg(F.count("*").alias("trajectories"), F.sum("n").alias("original_points"), F.sum("length").alias("whole")).first()
-    out = None
-    for g in gammas:
-        feats = trajectory.feature_points(tol, g)
-        cut = trajectory.lengths(feats, ["trajectory_id"]).agg(F.sum("n").alias("feature_points"), F.sum("length").alias("cut"))
-        clustered = grid.clique(feats, trial.k, trial.r, trial.neighbor_mode, trial.min_dense_points)
-        hulls = network.boundaries(clustered)
-        sizes = clustered.where("cluster_id != -1").groupBy("cluster_id").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("inside"), F.count("*").alias("n_clusters"), F.coalesce(F.max("count"), F.lit(0)).alias("largest_cluster_points"))
-        nodes = hulls.agg(F.count("*").alias("nodes"))
-        found = network.edges(clustered, hulls.select(F.col("cluster_id").alias("port_id")), keys=("mmsi", "trajectory_id"), order=("feature_order",)).agg(F.count("*").alias("edges"), F.coalesce(F.sum("transition_count"), F.lit(0)).alias("transitions"))
-        row = cut.crossJoin(sizes).crossJoin(nodes).crossJoin(found).withColumn("gamma", F.lit(float(g)))  # one row each
-        out = row if out is None else out.unionByName(row)
+    every = F.explode(F.array(*(F.struct(F.lit(i).alias("g"), F.lit(float(x)).alias("gamma")) for i, x in enumerate(gammas))))
+    feats = durable(tol.withColumn("__g", every).withColumns({"g": F.col("__g.g"), "gamma": F.col("__g.gamma")}).drop("__g").where(trajectory.keep(F.col("gamma"))))
+    extent = {r.g: grid.Bounds(r.x0, r.x1, r.y0, r.y1, r.n) for r in feats.groupBy("g").agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.count("*").alias("n")).collect()}
+    if not extent:
+        return spark.createDataFrame([], "gamma double, feature_points bigint, n_clusters bigint, largest_cluster_points bigint, nodes bigint, edges bigint, transitions bigint, trajectories bigint, original_points bigint, w1 double, w2 double, compression_rate_dr double, distance_similarity_dl double, cluster_coverage double, largest_cluster_share double, ld_score double, score double")
+
+    def cell(axis: str) -> Column:
+        out = F.lit(None).cast("int")
+        for g, b in extent.items():
+            out = F.when(F.col("g") == g, b.cell(k, axis)).otherwise(out)
+        return out
+
+    placed = feats.withColumn("clique_x", cell("lon")).withColumn("clique_y", cell("lat"))
+    cells: dict[int, dict[tuple[int, int], int]] = {}
+    for g, x, y, n in placed.groupBy("g", "clique_x", "clique_y").count().toLocalIterator():
+        cells.setdefault(g, {})[x, y] = n
+    table, sums = [], []
+    for g, found in cells.items():
+        least = grid.threshold(extent[g].n, trial.r, trial.min_dense_points)
+        sizes: dict[int, int] = {}
+        for c, label in grid.label_cells((c for c, n in found.items() if n >= least), trial.neighbor_mode).items():
+            table.append((g, *c, g * k * k + label))  # clusters of all gammas have ids of their own
+            sizes[label] = sizes.get(label, 0) + found[c]
+        sums.append((g, float(gammas[g]), extent[g].n, sum(sizes.values()), len(sizes), max(sizes.values(), default=0)))
+    labels = spark.createDataFrame(table, "g int, clique_x int, clique_y int, cluster_id int")
+    clustered = placed.join(labels, ["g", "clique_x", "clique_y"])
+    hulls = durable(network.boundaries(clustered))
+    group = F.floor(F.col("cluster_id") / (k * k)).cast("int").alias("g")
+    nodes = hulls.groupBy(group).agg(F.count("*").alias("nodes"))
+    moved = network.transitions(clustered, hulls.select(F.col("cluster_id").alias("port_id")), keys=("g", "mmsi", "trajectory_id"), order=("point_order",))
+    edges = moved.withColumn("g", F.floor(F.col("source_port") / (k * k)).cast("int")).groupBy("g", "source_port", "target_port").agg(F.count("*").alias("n")).groupBy("g").agg(F.count("*").alias("edges"), F.sum("n").alias("transitions"))
+    cut = trajectory.lengths(feats, ["g", "trajectory_id"]).groupBy("g").agg(F.sum("length").alias("cut"))
+    base = spark.createDataFrame(sums, "g int, gamma double, feature_points bigint, inside bigint, n_clusters bigint, largest_cluster_points bigint")
+    out = base.join(nodes, "g", "left").join(edges, "g", "left").join(cut, "g", "left").fillna(0, ["nodes", "edges", "transitions"]).drop("g")
     grid_w = F.explode(F.array(*(F.struct(F.lit(float(a)).alias("w1"), F.lit(float(b)).alias("w2")) for a, b in weights)))
     n, whole = F.lit(int(total.original_points or 0)), F.lit(float(total.whole or 0.0))
     x = out.withColumn("__w", grid_w).withColumns({

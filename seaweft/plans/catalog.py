@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from seaweft.plans import core_queries, more_queries  # noqa: F401  they register queries
+from seaweft.plans.registry import ORACLE_SQL, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "m0_port_edges"
 
-FLAGSHIP = ""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "Query"]
