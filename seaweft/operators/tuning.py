@@ -115,8 +115,9 @@ TRIALS = SHAPE + ", edge_count bigint, transition_count bigint, score double"
 
 
 def ranked(results: DataFrame) -> DataFrame:
-    """Trials by score, the best first; equal scores by trial."""
-    return results.orderBy(F.desc_nulls_last("score"), "trial")
+    """Trials by score, the best first; equal scores by trial, or by gamma and weights."""
+    ties = ["trial"] if "trial" in results.columns else ["gamma", "w1", "w2"]
+    return results.orderBy(F.desc_nulls_last("score"), *ties)
 
 
 def best(results: DataFrame) -> DataFrame:
