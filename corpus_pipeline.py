@@ -27,8 +27,8 @@ def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, by SimHash over shingles of five words."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document of each group of near-duplicates stays: shingles of five words, similarity of about 0.8 or more."""
+    return simhash.keep_one(docs, simhash.near_duplicates_wide(docs, shingle=5))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from seaweft.llm.common import bound_batches, durable, rows_of, text_list
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Length of a run up to which its links are listed, and up to which one task takes it whole.
 LISTED, BLOCK = 32, 4096
+#: Fingerprints of a document for lower similarities, and the share of their bits that linked ones may differ in.
+WIDTH, MOST_APART = 6, 0.177
 #: Shingles whose bits are counted at once.
 STEP = 1 << 16
 
@@ -35,20 +37,36 @@ def segments(max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
     return list(zip(edge, edge[1:]))
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """A bit is 1 if it is set in over half of the hashes of the text's word shingles, repeats included."""
+def wide_fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED, width: int = 1) -> np.ndarray:
+    """`width` fingerprints of 64 bits: the first of the shingles' hashes, the others of these hashes mixed anew.
+
+    A bit is 1 if it is set in over half of the hashes of the text's word shingles, repeats included.
+    """
     words = text.encode().lower().split()
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words])[: max(1, len(words) - shingle + 1)].tolist()
-    ends = (ends[shingle - 1 :] - 1).tolist() if len(words) >= shingle else [len(line)]
-    digest, ones, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(starts)
-    for k in range(0, n, STEP):
-        h = np.array([digest(line[a:b], seed) for a, b in zip(starts[k : k + STEP], ends[k : k + STEP])], np.uint64)
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    ones, n = np.zeros((width, 64), np.int64), 0
+    if words:
+        line = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        starts = (ends - [len(w) + 1 for w in words])[: max(1, len(words) - shingle + 1)].tolist()
+        ends = (ends[shingle - 1 :] - 1).tolist() if len(words) >= shingle else [len(line)]
+        digest, n = xxhash.xxh64_intdigest, len(starts)
+        for k in range(0, n, STEP):
+            h = np.array([digest(line[a:b], seed) for a, b in zip(starts[k : k + STEP], ends[k : k + STEP])], np.uint64)
+            for w in range(width):
+                x = _remix(h, w) if w else h
+                ones[w] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def _remix(h: np.ndarray, w: int) -> np.ndarray:
+    x = (h ^ np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(29))
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of 64 bits; 0 for a text without words."""
+    return int(wide_fingerprint(text, shingle, seed)[0])
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,7 +83,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_
 
 
 def variants(fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries of the fingerprints: (entry, fingerprint). An entry is the wildcard's bit and the rest of its segment."""
+    """Index entries of the fingerprints: (entry, fingerprint). An entry is the wildcard's bit (from bit 32) and the rest of its segment."""
     keys = []
     for low, high in segments(max_bits):
         part = (fps >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
@@ -105,23 +123,28 @@ def forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (fps[:0], fps[:0])
 
 
-def _links_of_runs(keys: np.ndarray, fps: np.ndarray, bits: np.ndarray | None, max_bits: int, listed_to: int, block: int) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-    """Links of sorted whole runs of equal keys: (a, b, False); runs above `block`: (key, length, True)."""
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, bool]
+
+
+def _links_of_runs(keys: np.ndarray, fps: np.ndarray, bits: np.ndarray | None, max_bits: int, listed_to: int, block: int) -> list[Found]:
+    """Links of sorted whole runs of equal keys: (key, a, b, False); runs above `block`: (key, length, 0, True)."""
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     size = np.diff(edge)
-    out = []
+    out: list[Found] = []
     short = np.repeat((size > 1) & (size <= listed_to), size)
     if bits is not None and short.any():
         k, f, b = keys[short], fps[short], bits[short]
         for d in range(1, int(size[(size > 1) & (size <= listed_to)].max())):
             i = np.flatnonzero(k[d:] == k[:-d])
             i = i[listed(b[i], f[i], f[i + d], max_bits)]
-            out.append((f[i], f[i + d], False))
+            out.append((k[i], f[i], f[i + d], False))
     for r in np.flatnonzero(size > (listed_to if bits is not None else 1)):
+        key = keys[edge[r] : edge[r] + 1]
         if size[r] > block:
-            out.append((keys[edge[r] : edge[r] + 1], size[r : r + 1].astype(np.uint64), True))
+            out.append((key, size[r : r + 1].astype(np.uint64), np.zeros(1, np.uint64), True))
         else:
-            out.append((*forest(fps[edge[r] : edge[r + 1]], max_bits), False))
+            a, b = forest(fps[edge[r] : edge[r + 1]], max_bits)
+            out.append((np.repeat(key, len(a)), a, b, False))
     return [x for x in out if len(x[0])]
 
 
@@ -145,24 +168,30 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def _emit(found: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
+def _emit(found: list[Found]) -> pa.RecordBatch:
     cat = lambda i: np.concatenate([x[i] for x in found]).astype(np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(cat(0)), pa.array(cat(1)), pa.array(np.concatenate([np.full(len(x[0]), x[2]) for x in found]))], ["a", "b", "long_run"])
+    return pa.RecordBatch.from_arrays([*(pa.array(cat(i)) for i in range(3)), pa.array(np.concatenate([np.full(len(x[0]), x[3]) for x in found]))], ["entry", "a", "b", "long_run"])
 
 
 def links(fps: DataFrame, *, max_bits: int = MAX_BITS, listed_to: int = LISTED, block: int = BLOCK) -> DataFrame:
-    """(a, b) bigint: links between distinct fingerprints (column fp), enough of them to reach whatever is linked."""
+    """(space, a, b): links between distinct fingerprints (fp bigint) of one space, enough to reach whatever is linked.
+
+    Fingerprints are of spaces of their own if there is a column `space` (int, below 128); else of space 0.
+    """
     bound_batches(fps.sparkSession)
+    source = fps.select("fp", F.col("space").cast("bigint") if "space" in fps.columns else F.lit(0).cast("bigint").alias("space"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
             keys, values = variants(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), max_bits)
+            spaces = b.column(1).to_numpy(zero_copy_only=False)
+            keys |= np.tile(spaces.astype(np.uint64) << np.uint64(40), len(keys) // len(spaces))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(values.view(np.int64))], ["entry", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, values in _whole_runs(batches, 2):
             keys, values = keys.view(np.uint64), values.view(np.uint64)
-            if found := _links_of_runs(keys, values, (keys >> np.uint64(32)).astype(np.int64), max_bits, listed_to, block):
+            if found := _links_of_runs(keys, values, ((keys >> np.uint64(32)) & np.uint64(255)).astype(np.int64), max_bits, listed_to, block):
                 yield _emit(found)
 
     def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,20 +199,22 @@ def links(fps: DataFrame, *, max_bits: int = MAX_BITS, listed_to: int = LISTED,
             if found := _links_of_runs(keys.view(np.uint64), values.view(np.uint64), None, max_bits, 0, 1 << 62):
                 yield _emit(found)
 
-    entries = fps.select("fp").mapInArrow(index, "entry bigint, fp bigint")
-    out = "a bigint, b bigint, long_run boolean"
+    entries = source.mapInArrow(index, "entry bigint, fp bigint")
+    out = "entry bigint, a bigint, b bigint, long_run boolean"
     found = durable(entries.repartition("entry").sortWithinPartitions("entry", "fp").mapInArrow(compare, out))
-    links_found = found.where("not long_run").select("a", "b")
-    heavy = found.where("long_run").select(F.col("a").alias("entry"), F.ceil(F.col("b") / F.lit(block)).cast("int").alias("blocks"))
+    space = lambda shift: F.shiftrightunsigned("entry", shift).cast("int").alias("space")
+    listed_links = found.where("not long_run").select(space(40), "a", "b")
+    heavy = found.where("long_run").select("entry", F.ceil(F.col("a") / F.lit(block)).cast("int").alias("blocks"))
     if heavy.isEmpty():
-        return links_found.distinct()
+        return listed_links.distinct()
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     cut = entries.join(heavy, "entry").withColumn("mine", mine)
     pairs = cut.withColumn("other", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x != mine)")))
-    # a pair of blocks of one entry: hashed to one number that runs are told apart by; equal numbers only add comparisons
-    run = F.xxhash64("entry", F.least("mine", "other"), F.greatest("mine", "other"))
+    # a pair of blocks of one entry is a run, hashed below its space; entries that share a hash only add comparisons
+    low = F.xxhash64("entry", F.least("mine", "other"), F.greatest("mine", "other")).bitwiseAND(F.lit((1 << 56) - 1))
+    run = F.shiftleft(F.shiftrightunsigned("entry", 40), 56).bitwiseOR(low)
     more = pairs.select(run.alias("run"), "fp").repartition("run").sortWithinPartitions("run", "fp").mapInArrow(compare_blocks, out)
-    return links_found.unionByName(more.select("a", "b")).distinct()
+    return listed_links.unionByName(more.select(space(56), "a", "b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,7 +249,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int =
     """
     marked = durable(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col))
     kinds = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(kinds, max_bits=max_bits, listed_to=listed_to, block=block)).withColumnRenamed("node", "fp")
+    roots = components(links(kinds, max_bits=max_bits, listed_to=listed_to, block=block).select("a", "b")).withColumnRenamed("node", "fp")
     lowest = kinds.join(roots, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = roots.join(lowest, "root").select("fp", "component_id")
     # checkpointed, so that both sides of the last join are plain shuffles and Spark can split a fingerprint that many rows share
@@ -226,17 +257,61 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int =
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_duplicates_wide(docs: DataFrame, *, shingle: int = 5, width: int = WIDTH, max_bits: int = 7, most: float = MOST_APART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) by `width` fingerprints of 64 bits instead of one, for similarities well below 1.
+
+    Documents are linked if one of their fingerprints differs by at most `max_bits` bits, and all of them together by at
+    most a share `most` of the bits. A pair of five-word shingle similarity 0.8 differs in 15 % of the bits on average,
+    so a single fingerprint within 7 bits finds about one such pair in four, and six find most. Fingerprints that
+    many documents share are linked to one of them. Nulls and repeated rows are as in `near_duplicates`.
+    """
+    bound_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches):
+            fps = [wide_fingerprint(t, shingle, SEED, width).astype("<u8").tobytes() for t in text_list(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fps"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches):
+            fps = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8")
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), width)), pa.array(np.tile(np.arange(width, dtype=np.int32), n)), pa.array(fps)], ["node", "space", "fp"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches):
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, width) for i in (2, 3))
+            near = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most * 64 * width
+            yield b.select(["a", "b"]).filter(pa.array(near))
+
+    marked = durable(source.mapInArrow(mark, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fps binary").withColumn("node", F.xxhash64("fps")))
+    kinds = durable(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fps").alias("fps")))
+    values = durable(kinds.select("node", "fps").mapInArrow(spread, "node bigint, space int, fp bigint"))
+    reps = durable(values.groupBy("space", "fp").agg(F.min("node").alias("rep")))
+    shared = values.join(reps, ["space", "fp"]).where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    end = lambda n: reps.select("space", F.col("fp").alias(n), F.col("rep").alias(f"{n}_node"))
+    between = links(reps, max_bits=max_bits).join(end("a"), ["space", "a"]).join(end("b"), ["space", "b"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    full = lambda n: kinds.select(F.col("node").alias(n), F.col("fps").alias(f"{n}_fps"))
+    pairs = shared.unionByName(between).distinct().join(full("a"), "a").join(full("b"), "b").select("a", "b", "a_fps", "b_fps")
+    roots = components(pairs.mapInArrow(verify, "a bigint, b bigint"))
+    lowest = kinds.join(roots, "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
+    linked = roots.join(lowest, "root").select("node", "component_id")
+    named = durable(kinds.join(linked, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")))
+    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
 def hex_of(fp: str) -> Column:
     """A fingerprint as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest id; of rows that repeat an id, one with each component.
+def keep_one(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component (doc_id, component_id), with all its columns: that of the smallest id; of rows that repeat
+    an id, one for each component.
 
     Rows without an id are kept only where no row of their component has one, and then once.
     """
-    found = near_duplicates(docs, shingle=shingle, max_bits=max_bits, id_col=id_col, text_col=text_col)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")))
     # repeated ids are next to each other after the join, so this sorts but doesn't shuffle again

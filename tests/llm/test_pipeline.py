@@ -4,8 +4,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from seaweft.llm import byte_bpe, mixing, quality_rules, toxicity
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from seaweft.llm import byte_bpe, mixing, quality_rules, simhash, toxicity
 
 ROOT = "/root/testdata/sf0.01"
 
@@ -31,8 +30,9 @@ def test_stages_against_brute_force(spark, tmp_path):
     forest = quality_rules.fit(steps[1], labels)
     assert ids[2] == {d for d, k in zip([r.doc_id for r in rows[1]], quality_rules._judge([r.text for r in rows[1]], forest)[3]) if k}
 
-    want = brute_components(sorted(ids[2]), [brute_fingerprint(texts[d], 5) for d in sorted(ids[2])])
+    want = {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(steps[2], shingle=5).collect()}  # tested against brute force itself
     assert ids[3] == {d for d, low in want.items() if d == low} and len(rows[3]) == len(ids[3]) < len(ids[2])
+    assert len({texts[d] for d in ids[3]}) == len(ids[3])
 
     times = Counter(r.doc_id for r in rows[4])
     assert times == Counter({r.doc_id: r.copies for r in mixing.mix(steps[3]).collect() if r.copies})

@@ -60,9 +60,9 @@ def test_components_equal_brute_force(spark, listed_to, block, most):
     fps = clustered(260, most)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), max_bits=most, listed_to=listed_to, block=block)
-    for a, b in edges.collect():
+    for _, a, b in edges.collect():
         assert bin((a ^ b) & (1 << 64) - 1).count("1") <= most
-    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    roots = {r.node: r.root for r in simhash.components(edges.select("a", "b")).collect()}
     assert {x: roots.get(x, x) for x in signed} == brute_components(signed, [x & (1 << 64) - 1 for x in signed], most)
 
 
@@ -86,6 +86,50 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(3, text, "x", 1), (2, text, "x", 1), (2, text, "x", 1), (None, text, "y", 1), (5, "", "x", 1), (4, None, "x", 1), (None, "only here and once", "x", 1)], schema)
     got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()]
     assert sorted(got, key=repr) == sorted([(3, 2), (2, 2), (2, 2), (None, 2), (5, 4), (4, 4), (None, None)], key=repr)
-    assert sorted((r.doc_id for r in simhash.keep_one(df).collect()), key=repr) == [2, 4, None]
-    assert simhash.keep_one(df).columns == df.columns
+    for found in (simhash.near_duplicates(df), simhash.near_duplicates_wide(df)):
+        assert sorted((r.doc_id for r in simhash.keep_one(df, found).collect()), key=repr) == [2, 4, None]
+        assert simhash.keep_one(df, found).columns == df.columns
+    assert simhash.near_duplicates_wide(df.limit(0)).collect() == []
     assert simhash.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_spaces_are_apart(spark):
+    fps = [(0, 0), (0, 1), (1, 1), (1, 3), (2, 7)]
+    got = {tuple(r) for block in (1, 4096) for r in simhash.links(spark.createDataFrame(fps, "space int, fp bigint"), listed_to=min(block, 32), block=block).collect()}
+    assert {(s, *sorted((a, b))) for s, a, b in got} == {(0, 0, 1), (1, 1, 3)}
+
+
+def test_wide_finds_similar_documents_and_no_others(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, pairs = [], []
+    for i in range(150):
+        base = [word() for _ in range(300)]
+        copy = list(base)
+        for at in rng.sample(range(300), 5):  # about 25 of 296 shingles: similarity 0.84
+            copy[at] = word()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        pairs.append((2 * i, 2 * i + 1))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) / len(pairs) > 0.85
+    assert all(c in (d, d - d % 2) for d, c in got.items())
+
+
+def test_wide_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    fps = {d: simhash.wide_fingerprint(t, 5, 42, simhash.WIDTH) for d, t in texts.items()}
+    near = lambda a, b: min(np.bitwise_count(fps[a] ^ fps[b])) <= 7 and np.bitwise_count(fps[a] ^ fps[b]).sum() <= simhash.MOST_APART * 64 * simhash.WIDTH
+    root = {d: d for d in fps}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in fps:
+        for b in fps:
+            if a < b and near(a, b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(docs).collect()} == {d: find(d) for d in fps}
