@@ -1,7 +1,7 @@
 """Document fingerprints by I-Match with randomised lexicons.
 
-The lexicon has the terms whose inverse document frequency lies in a band. A document's terms are its distinct words in
-the lexicon. Each of many random subsets of the lexicon picks some of them; these are sorted and hashed, which gives one
+The lexicon has the terms whose inverse document frequency lies in a band. Terms are known by hashes of 48 bits. A
+document's terms are its distinct words in the lexicon. Each of many random subsets of the lexicon picks some of them; these are sorted and hashed, which gives one
 signature a subset. Subsets differ in rate, so that short and long documents both have subsets that pick a few terms; a
 subset that picks none, or more than MOST, gives no signature. Likeness is the share of signatures that agree.
 """
@@ -49,8 +49,13 @@ def memberships(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def terms_of(text: str) -> set[bytes]:
-    return set(text.encode().lower().split())
+def terms_of(text: str) -> set[int]:
+    """Hashes of a text's distinct words; ASCII letters in lower case, split at ASCII white space."""
+    return {term_hash(w) for w in set(text.encode().lower().split())}
+
+
+def term_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 16
 
 
 def signatures(hashes: np.ndarray, packed: np.ndarray) -> np.ndarray:
@@ -75,25 +80,24 @@ def signatures(hashes: np.ndarray, packed: np.ndarray) -> np.ndarray:
 class Lexicon:
     """The terms in the band, sorted."""
 
-    terms: list[bytes]
-    _place: dict[bytes, int] = field(default=None, repr=False)
+    terms: list[int]
+    _place: dict[int, int] = field(default=None, repr=False)
     _hashes: np.ndarray = field(default=None, repr=False)
     _packed: np.ndarray = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "_place": None, "_hashes": None, "_packed": None}
+        return {"terms": np.array(self.terms, np.int64), "_place": None, "_hashes": None, "_packed": None}
 
     def signature(self, text: str) -> np.ndarray:
         if self._place is None:
-            self._place = {t: i for i, t in enumerate(self.terms)}
-            self._hashes = np.array([xxhash.xxh64_intdigest(t) for t in self.terms], np.uint64)
+            self._hashes = np.array(self.terms, np.uint64)
+            self._place = {t: i for i, t in enumerate(self._hashes.tolist())}
             self._packed = memberships(self._hashes)
-        words = terms_of(text)
-        place = self._place
+        words, place = terms_of(text), self._place
         known = sorted(place[w] for w in words if w in place)
         if len(known) >= FEW:
             return signatures(self._hashes[known], self._packed[known])
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in sorted(words)], np.uint64)
+        hashes = np.array(sorted(words), np.uint64)
         return signatures(hashes, memberships(hashes))
 
 
@@ -118,7 +122,7 @@ def fit(docs: DataFrame, *, least_idf: float = LEAST_IDF, most_idf: float = MOST
     texts = docs.select(F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: Counter[int] = Counter()
         for b in rows_of(batches):
             for t in text_list(b.column(0)):
                 held.update(terms_of(t))
@@ -128,13 +132,13 @@ def fit(docs: DataFrame, *, least_idf: float = LEAST_IDF, most_idf: float = MOST
         if held:
             yield flush(held)
 
-    def flush(held: Counter[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["term", "n"])
+    def flush(held: Counter[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], ["term", "n"])
 
     total = docs.count()
     low, high = total * math.exp(-most_idf), total * math.exp(-least_idf)
-    band = texts.mapInArrow(count, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n").between(low, high))
-    return Lexicon(sorted(bytes(r.term) for r in band.select("term").collect()))
+    band = texts.mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n").between(low, high))
+    return Lexicon(sorted(r.term for r in band.select("term").collect()))
 
 
 def fingerprint(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
