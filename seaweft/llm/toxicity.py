@@ -23,8 +23,12 @@ from seaweft.llm.common import bound_batches, fit_once, labelled_sample, rows_of
 
 #: Labelled rows the lexicon is learned from, at most.
 FIT_ROWS = 12_000
-#: Evidence (likelihood ratio statistic) and precision that a learned entry needs; lengths of learned word beginnings.
-MIN_EVIDENCE, MIN_PRECISION, STEM = 20.0, 0.4, range(4, 10)
+#: Precision and evidence (likelihood ratio statistic) that a learned entry needs: the strictest that does about as well as
+#: the best on half of the rows, learned on the other half. Lengths of learned word beginnings.
+SETTINGS, STEM = ((0.8, 28.0), (0.6, 24.0), (0.4, 20.0)), range(4, 10)
+#: Log loss that counts as about as well, rows that settings are compared on, and rows below which the first one is taken.
+CLOSE, TRIED, FEW = 0.004, 3000, 200
+POWERS = (0.05, 0.1, 0.2, 0.35, 0.5)
 #: General insults, and phrases in which such a word isn't one.
 SEED_TERMS = ("idiot", "moron", "imbecile", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "dumbass", "retard", "bastard", "bitch", "asshole", "faggot", "whore", "slut")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "take out the trash", "clown fish", "circus clown", "class clown", "sore loser", "worthless stock", "worthless currency", "stupid simple", "keep it simple stupid")
@@ -120,42 +124,79 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[float,
     return float(w[0]), float(w[1]), float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
+@dataclass
+class Tally:
+    """Numbers of toxic and other rows that have each word beginning."""
+
+    toxic: Counter[str]
+    other: Counter[str]
+    n_toxic: int
+    n_other: int
+
+    @classmethod
+    def of(cls, rows: list[tuple]) -> Tally:
+        out = cls(Counter(), Counter(), 0, 0)
+        for _, text, label in rows:
+            words = set(fold(text).split())
+            (out.toxic if label else out.other).update({w[:k] for w in words for k in STEM if len(w) >= k} | {w for w in words if 3 <= len(w) < STEM[0]})
+            out.n_toxic, out.n_other = out.n_toxic + bool(label), out.n_other + (not label)
+        return out
+
+    def __add__(self, more: Tally) -> Tally:
+        return Tally(self.toxic + more.toxic, self.other + more.other, self.n_toxic + more.n_toxic, self.n_other + more.n_other)
+
+    def weight(self, s: str) -> float:
+        return math.log((self.toxic[s] + 0.5) / (self.n_toxic + 1)) - math.log((self.other[s] + 0.5) / (self.n_other + 1))
+
+    def lexicon(self, precision: float, least: float, prior: float = 3.0) -> Lexicon:
+        """Seed terms, and the word beginnings that mark toxic rows: those of most evidence, the longest of equals."""
+        found = []
+        for s, k in self.toxic.items():
+            m = self.other[s]
+            if self.n_other and k >= 3 and k >= precision * (k + m):
+                g = evidence(k, m, self.n_toxic, self.n_other)
+                if g >= least:
+                    found.append((-g, -len(s), s))
+        chosen: dict[str, float] = {}
+        taken: set[str] = set()
+        for *_, s in sorted(found):
+            heads = {s[:k] for k in range(1, len(s) + 1)}
+            if s not in taken and not heads & chosen.keys():
+                chosen[s] = self.weight(s)
+                taken |= heads
+        seeds = {s: prior for s in SEED_TERMS}
+        for s in SEED_TERMS:  # a seed term that the labels contradict loses its weight
+            if self.other[s[: STEM[-1]]]:
+                seeds[s] = max(0.0, min(prior, self.weight(s[: STEM[-1]])))
+        return Lexicon({s: w for s, w in (seeds | chosen).items() if w > 0})
+
+
+def tune(lexicon: Lexicon, rows: list[tuple]) -> float:
+    """Calibrate a lexicon on rows of both labels; the log loss. The mildest normalisation that fits about as well as the best."""
+    y = np.array([bool(label) for *_, label in rows], float)
+    raw = np.array([lexicon.raw(text) for _, text, _ in rows], float)
+    fits = []
+    for power in POWERS:
+        slope, offset, loss = calibrate(raw[:, 0] / (1 + raw[:, 1] / 100) ** power, y)
+        fits.append((loss, power, slope, offset))
+    loss, lexicon.power, lexicon.slope, lexicon.offset = next(f for f in fits if f[0] <= min(fits)[0] + CLOSE)
+    return loss
+
+
 def learn(rows: list[tuple]) -> Lexicon:
-    """A lexicon from (key, text, label) rows: seed terms, and word beginnings that mark the toxic ones."""
-    toxic: Counter[str] = Counter()
-    other: Counter[str] = Counter()
-    n = Counter(bool(label) for *_, label in rows)
-    for _, text, label in rows:
-        words = set(fold(text).split())
-        (toxic if label else other).update({w[:k] for w in words for k in STEM if len(w) >= k} | {w for w in words if 3 <= len(w) < STEM[0]})
-    found = []
-    for s, k in toxic.items():
-        m = other[s]
-        if k >= 3 and k / (k + m) >= MIN_PRECISION and n[False]:
-            g = evidence(k, m, n[True], n[False])
-            if g >= MIN_EVIDENCE:
-                found.append((-g, -len(s), s))
-    chosen: list[str] = []
-    for *_, s in sorted(found):
-        if not any(s.startswith(c) or c.startswith(s) for c in chosen):
-            chosen.append(s)
-    weigh = lambda s: math.log((toxic[s] + 0.5) / (n[True] + 1)) - math.log((other[s] + 0.5) / (n[False] + 1))
-    prior = 3.0
-    weights = {s: prior for s in SEED_TERMS} | {s: weigh(s) for s in chosen}
-    for s in SEED_TERMS:  # a seed term that the labels contradict loses its weight
-        if other[s[: STEM[-1]]] and weigh(s[: STEM[-1]]) < prior:
-            weights[s] = max(0.0, weigh(s[: STEM[-1]]))
-    best = Lexicon({s: w for s, w in weights.items() if w > 0})
-    if n[True] and n[False]:
-        y = np.array([bool(label) for *_, label in rows], float)
-        raw = np.array([best.raw(text) for _, text, _ in rows], float)
-        fits = []
-        for power in (0.05, 0.1, 0.2, 0.35, 0.5):
-            slope, offset, loss = calibrate(raw[:, 0] / (1 + raw[:, 1] / 100) ** power, y)
-            fits.append((round(loss, 6), power, slope, offset))
-        # the mildest normalisation that fits about as well as the best one
-        _, best.power, best.slope, best.offset = next(f for f in fits if f[0] <= min(fits)[0] + 0.003)
-    return best
+    """A lexicon from (key, text, label) rows, calibrated on them; without rows of both labels, the seed terms as they are."""
+    halves = rows[::2], rows[1::2]
+    tallies = [Tally.of(h) for h in halves]
+    setting = SETTINGS[0]
+    tried = halves[1][:TRIED]
+    if len(rows) >= FEW and all(t.n_toxic and t.n_other for t in tallies) and len({bool(r[2]) for r in tried}) == 2:
+        losses = [tune(tallies[0].lexicon(*s), tried) for s in SETTINGS]
+        setting = next(s for s, x in zip(SETTINGS, losses) if x <= min(losses) + CLOSE)
+    both = tallies[0] + tallies[1]
+    lexicon = both.lexicon(*setting)
+    if both.n_toxic and both.n_other:
+        tune(lexicon, rows)
+    return lexicon
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, mod: int | None = 4, held: int = 2, bound: int = FIT_ROWS, **cols: str) -> Lexicon:
