@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seaweft.plans import core_queries, more_queries  # noqa: F401  they register queries
+from seaweft.plans import core_queries, inventory_queries, more_queries  # noqa: F401  they register queries
 from seaweft.plans.registry import ORACLE_SQL, QUERIES, Query
 
 FLAGSHIP = "m0_port_edges"
