@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from seaweft.checkpoints import durable
 
+#: Tasks that the nodes of one root are dealt to.
+SALTS = 16
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): the smallest node of its component.
@@ -21,8 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(around.withColumnRenamed("a", "node"), "node").withColumn("low", F.least("root", "low"))
         votes = lower.select("node", F.col("low").alias("to")).unionByName(lower.select(F.col("root").alias("node"), F.col("low").alias("to")))
         hooked = durable(votes.groupBy("node").agg(F.min("to").alias("root")))
-        over = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        after = hooked.join(over, "root").select("node", F.least("root", "top").alias("root"))
+        # the nodes of a large component share a root: it is looked up once and the answer dealt out to several tasks
+        used = hooked.select(F.col("root").alias("node")).distinct()
+        over = hooked.join(used, "node").select(F.col("node").alias("root"), F.col("root").alias("top"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = hooked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        after = salted.join(over, ["root", "salt"]).select("node", F.least("root", "top").alias("root"))
         labels_next = durable(after.join(labels.withColumnRenamed("root", "was"), "node"))
         if labels_next.where("root != was").isEmpty():
             return labels_next.select("node", "root")
