@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seaweft.checkpoints import durable, shared_dir
+
+__all__ = ["bound_batches", "crc_mod", "durable", "fit_once", "join_hot", "labelled_sample", "read_table", "rows_of", "shared_dir", "text_list"]
+
 #: Rows and bytes that one Arrow batch may hold, which bounds what a Python worker keeps at once.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
@@ -20,21 +23,11 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="seaweft-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def join_hot(left: DataFrame, right: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """Inner join on `key`, which is unique in `right`, with the rows of a key in `left` dealt over several tasks by `by`."""
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, "__salt"]).drop("__salt")
 
 
 def crc_mod(key: Column, mod: int) -> Column:

@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seaweft.llm.common import bound_batches, durable, rows_of, text_list
+from seaweft.llm.common import bound_batches, durable, join_hot, rows_of, text_list
+from seaweft.operators.components import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Length of a run up to which its links are listed, and up to which one task takes it whole.
@@ -217,29 +218,6 @@ def links(fps: DataFrame, *, max_bits: int = MAX_BITS, listed_to: int = LISTED,
     return listed_links.unionByName(more.select(space(56), "a", "b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) bigint of every node of the edges (a, b): root is the smallest node that it reaches.
-
-    Each round a node and its root take the smallest root among its neighbours, and roots are shortcut; every round is
-    checkpointed. Rounds grow with the logarithm of the longest chain. Minima are combined before they are shuffled, so
-    a node with many neighbours costs no task more than its share.
-    """
-    both = durable(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = durable(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
-    while True:
-        seen = both.join(state.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        hooks = state.join(seen.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "low").alias("low"))
-        moved = hooks.select("node", F.col("low").alias("to")).unionByName(hooks.where("low < root").select(F.col("root").alias("node"), F.col("low").alias("to")))
-        hooked = durable(moved.groupBy("node").agg(F.min("to").alias("root")))
-        above = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        jumped = hooked.join(above, "root").select("node", F.least("root", "top").alias("root"))
-        was = state.withColumnRenamed("root", "was")
-        state = durable(jumped.join(was, "node"))
-        if state.where("root != was").isEmpty():
-            return state.select("node", "root")
-        state = state.select("node", "root")
-
-
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int = MAX_BITS, listed_to: int = LISTED, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp bigint, component_id) of every document; component_id is the smallest doc_id that it reaches.
 
@@ -251,7 +229,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int =
     kinds = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(kinds, max_bits=max_bits, listed_to=listed_to, block=block).select("a", "b")).withColumnRenamed("node", "fp")
     lowest = kinds.join(roots, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = roots.join(lowest, "root").select("fp", "component_id")
+    linked = join_hot(roots, lowest, "root", "fp").select("fp", "component_id")
     # checkpointed, so that both sides of the last join are plain shuffles and Spark can split a fingerprint that many rows share
     named = durable(kinds.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -296,7 +274,7 @@ def near_duplicates_wide(docs: DataFrame, *, shingle: int = 5, width: int = WIDT
     pairs = shared.unionByName(between).distinct().join(full("a"), "a").join(full("b"), "b").select("a", "b", "a_fps", "b_fps")
     roots = components(pairs.mapInArrow(verify, "a bigint, b bigint"))
     lowest = kinds.join(roots, "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = roots.join(lowest, "root").select("node", "component_id")
+    linked = join_hot(roots, lowest, "root", "node").select("node", "component_id")
     named = durable(kinds.join(linked, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")))
     return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
