@@ -6,9 +6,10 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seaweft.checkpoints import durable
 from seaweft.operators.components import components
 
 #: Cells that the driver clusters itself, at most. A grid of k has at most k * k cells, whatever the number of points.
@@ -93,12 +94,22 @@ def cluster_cells(dense: DataFrame, k: int, mode: int, driver_cells: int = DRIVE
     moved = nodes.withColumn("d", steps).select("a", (F.col("clique_x") + F.col("d.dx")).alias("clique_x"), (F.col("clique_y") + F.col("d.dy")).alias("clique_y"))
     edges = moved.join(nodes.withColumnRenamed("a", "b"), ["clique_x", "clique_y"]).select("a", "b")
     rooted = nodes.join(components(edges).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    ranks = rooted.select("root").distinct()
-    from pyspark.sql import Window
-    numbered = ranks.withColumn("cluster_id", (F.row_number().over(Window.orderBy("root")) - 1).cast("int"))
+    numbered = number(rooted.select("root").distinct(), "root", "cluster_id")
     return rooted.join(numbered, "root").select("clique_x", "clique_y", "cluster_id")
 
 
+def number(values: DataFrame, column: str, name: str) -> DataFrame:
+    """Distinct values with their rank from 0: ranges are numbered in parallel, each from where the one before ends."""
+    ranges = durable(values.select(column).repartitionByRange(column).withColumn("__range", F.spark_partition_id()))
+    starts, total = [], 0
+    for r, n in sorted(map(tuple, ranges.groupBy("__range").count().collect())):
+        starts.append((r, total))
+        total += n
+    offsets = F.broadcast(values.sparkSession.createDataFrame(starts, "__range int, __start bigint"))  # a row for each partition
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(column)) - 1
+    return ranges.withColumn("__rank", rank).join(offsets, "__range").select(column, (F.col("__rank") + F.col("__start")).cast("int").alias(name))
+
+
 def clique(points: DataFrame, k: int = 30, r: float = 8e-5, mode: int = 4, min_dense: int | None = None) -> DataFrame:
     """The points with clique_x, clique_y and cluster_id, -1 where their cell isn't dense. Points without a place are dropped."""
     mode = neighbour_mode(mode)

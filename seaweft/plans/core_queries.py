@@ -382,14 +382,14 @@ def _(s, d):
     return _long(network.edges(c, network.waypoint_nodes(c, network.boundaries(c)), keys=("mmsi", "trajectory_id"), order=("feature_order",)))
 
 
-_V = sql.VALID + """, trk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY base_date_time, event_seq) - 1 AS point_order, count(*) OVER (PARTITION BY mmsi) AS n_track, CAST(mmsi AS VARCHAR) AS trajectory_id FROM valid WHERE mmsi < 40)""" + sql.TOLERANCE
+_V = sql.VALID + """, trk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY base_date_time, event_seq) - 1 AS point_order, count(*) OVER (PARTITION BY mmsi) AS n_track, CAST(mmsi AS VARCHAR) AS trajectory_id FROM valid)""" + sql.TOLERANCE
 
 
 @query("alg15_whole_vessel_tracks", _V + " SELECT mmsi, count(*) AS n FROM tol WHERE tolerance > 0.001E0 GROUP BY 1")
 def _(s, d):
     from pyspark.sql import Window
     w = Window.partitionBy("mmsi").orderBy("base_date_time", "event_seq")
-    whole = valid(s, d).where("mmsi < 40").withColumn("trajectory_id", F.col("mmsi").cast("string")).withColumn("point_order", F.row_number().over(w) - 1)
+    whole = valid(s, d).withColumn("trajectory_id", F.col("mmsi").cast("string")).withColumn("point_order", F.row_number().over(w) - 1)
     return trajectory.feature_points(trajectory.with_tolerance(whole), 0.001).groupBy("mmsi").agg(F.count("*").alias("n"))
 
 
