@@ -14,7 +14,8 @@ from seaweft.checkpoints import durable
 from seaweft.functions.scalar import alignment
 from seaweft.operators import grid, network, trajectory
 
-KS = (20, 30, 50, 80, 100, 200, 300, 500, 800, 1000, 1400)
+#: The grids of the sweeps.
+KS = (20, 30, 50, 80, 120, 200, 300, 500, 800, 1000, 1400)
 RS = (5e-6, 1e-5, 2e-5, 3e-5, 5e-5, 8e-5, 1e-4, 1.5e-4, 2e-4, 3e-4, 5e-4, 1e-3)
 GAMMAS = (1e-5, 5e-5, 1e-4, 2e-4, 5e-4, 1e-3, 2e-3, 5e-3, 1e-2, 2e-2, 5e-2, 1e-1)
 

@@ -23,6 +23,9 @@ class Region:
     ports: tuple[int | None, int | None] = (None, None)
     waypoints: tuple[int | None, int | None] = (None, None)
     trial: tuning.Trial = field(default_factory=lambda: tuning.Trial(1400, 5e-6, 4))
+    min_port_points: int = 100
+    gammas: tuple[float, ...] = tuning.GAMMAS
+    weights: tuple[tuple[float, float], ...] = ((1.0, 1.0),)
 
 
 @dataclass
@@ -74,13 +77,14 @@ def tune_ports(points: DataFrame, region: Region, wanted: list[tuning.Trial] | N
     if done is not None:
         have = {(r.k, r.r, int(float(r.neighbor_mode)), r.min_dense_points) for r in done.select("k", "r", "neighbor_mode", "min_dense_points").distinct().collect()}
         todo = [t for t in todo if (t.k, t.r, t.neighbor_mode, t.min_dense_points) not in have]
-    new = tuning.sweep_ports(ingest.stationary(points), todo, low=region.ports[0], high=region.ports[1])
+    new = tuning.sweep_ports(ingest.stationary(points), todo, min_port_points=region.min_port_points, low=region.ports[0], high=region.ports[1])
     return new if done is None else done.unionByName(new, allowMissingColumns=True)
 
 
-def tune_waypoints(points: DataFrame, region: Region, gammas: tuple[float, ...] = tuning.GAMMAS, **kw: object) -> DataFrame:
+def tune_waypoints(points: DataFrame, region: Region) -> DataFrame:
+    """Scores of the region's gammas and weights."""
     tol = trajectory.with_tolerance(trajectory.tracks(ingest.track_input(points)))
-    return tuning.sweep_waypoints(tol, gammas, region.trial, low=region.waypoints[0], high=region.waypoints[1], **kw)
+    return tuning.sweep_waypoints(tol, region.gammas, region.trial, weights=region.weights, low=region.waypoints[0], high=region.waypoints[1])
 
 
 def network_features(run_id: str, **layers: DataFrame) -> DataFrame:

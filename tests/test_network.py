@@ -182,3 +182,9 @@ def test_whole_runs(spark, tmp_path):
     done = pipeline.tune_ports(points, pipeline.Region("all"), tuning.trials((50,), (1e-3,), (4, 8)))
     again = pipeline.tune_ports(points, pipeline.Region("all"), tuning.trials((50, 60), (1e-3,), (4, 8)), done)
     assert (done.count(), again.count()) == (2, 4)
+
+
+def test_presets_and_grids():
+    from seaweft.plans.regions import REGIONS
+    assert len(tuning.trials()) == 264 and len(tuning.GAMMAS) == 12
+    assert sorted(REGIONS) == [1, 2, 3, 4, 5] and len(REGIONS[1].weights) == 16 and REGIONS[2].trial == tuning.Trial(500, 3e-4, 8)
