@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from seaweft.llm.common import bound_batches, rows_of, text_list
 
 #: Nodes of a worker's trie; a larger trie is begun anew. Mark before a word.
-NODES, MARK = 400_000, "▁"
+NODES, MARK = 250_000, "▁"
 #: Shift of the Zipf-Mandelbrot law that turns a piece's rank into a probability, and log probability of a fallback byte
 #: below that of the rarest piece.
 SHIFT, BYTE_GAP = 2.7, 10.0
