@@ -169,6 +169,50 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[
         yield [np.concatenate(c) for c in zip(*held)]
 
 
+class Trees:
+    """Which fingerprints of a space a task has linked so far, so that it passes on no link that adds nothing."""
+
+    def __init__(self) -> None:
+        self.above: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def _root(self, x: tuple[int, int]) -> tuple[int, int]:
+        above = self.above
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    def new_links(self, found: list[Found]) -> list[Found]:
+        out = []
+        for key, a, b, long_run in found:
+            if not long_run:
+                keep = np.zeros(len(a), bool)
+                for i, (k, x, y) in enumerate(zip((key >> np.uint64(40)).tolist(), a.tolist(), b.tolist())):
+                    x, y = self._root((k, x)), self._root((k, y))
+                    if x != y:
+                        self.above[y] = x
+                        keep[i] = True
+                key, a, b = key[keep], a[keep], b[keep]
+            if len(key):
+                out.append((key, a, b, long_run))
+        return out
+
+
+def lot(max_bits: int) -> Column:
+    """What the shuffle of entries goes by: the space, the segment, and the half of it that has no wildcard.
+
+    So the entries that differ in the place of the wildcard within a half meet in one task, which passes on each link
+    between near fingerprints about once instead of once an entry.
+    """
+    bit, part = F.shiftright("entry", 32).bitwiseAND(F.lit(255)), F.col("entry").bitwiseAND(F.lit((1 << 32) - 1))
+    out = F.lit(0).cast("bigint")
+    for low, high in segments(max_bits):
+        half = (high - low) // 2
+        below = F.shiftright(part, half)  # the wildcard is in the lower half: the upper half tells
+        above = part.bitwiseAND(F.lit((1 << half) - 1))
+        out = F.when(bit.between(low, low + half - 1), F.xxhash64(F.shiftright("entry", 40), F.lit(2 * low), below)).when(bit.between(low + half, high - 1), F.xxhash64(F.shiftright("entry", 40), F.lit(2 * low + 1), above)).otherwise(out)
+    return out
+
+
 def _emit(found: list[Found]) -> pa.RecordBatch:
     cat = lambda i: np.concatenate([x[i] for x in found]).astype(np.uint64).view(np.int64)
     return pa.RecordBatch.from_arrays([*(pa.array(cat(i)) for i in range(3)), pa.array(np.concatenate([np.full(len(x[0]), x[3]) for x in found]))], ["entry", "a", "b", "long_run"])
@@ -190,9 +234,10 @@ def links(fps: DataFrame, *, max_bits: int = MAX_BITS, listed_to: int = LISTED,
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(values.view(np.int64))], ["entry", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Trees()
         for keys, values in _whole_runs(batches, 2):
             keys, values = keys.view(np.uint64), values.view(np.uint64)
-            if found := _links_of_runs(keys, values, ((keys >> np.uint64(32)) & np.uint64(255)).astype(np.int64), max_bits, listed_to, block):
+            if found := trees.new_links(_links_of_runs(keys, values, ((keys >> np.uint64(32)) & np.uint64(255)).astype(np.int64), max_bits, listed_to, block)):
                 yield _emit(found)
 
     def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +247,7 @@ def links(fps: DataFrame, *, max_bits: int = MAX_BITS, listed_to: int = LISTED,
 
     entries = source.mapInArrow(index, "entry bigint, fp bigint")
     out = "entry bigint, a bigint, b bigint, long_run boolean"
-    found = durable(entries.repartition("entry").sortWithinPartitions("entry", "fp").mapInArrow(compare, out))
+    found = durable(entries.repartition(lot(max_bits)).sortWithinPartitions("entry", "fp").mapInArrow(compare, out))
     space = lambda shift: F.shiftrightunsigned("entry", shift).cast("int").alias("space")
     listed_links = found.where("not long_run").select(space(40), "a", "b")
     heavy = found.where("long_run").select("entry", F.ceil(F.col("a") / F.lit(block)).cast("int").alias("blocks"))
