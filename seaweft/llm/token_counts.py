@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from seaweft.llm.common import bound_batches, rows_of, text_list
 
-#: Nodes of a worker's trie; a larger trie is begun anew. Mark before a word.
-NODES, MARK = 250_000, "▁"
+#: Nodes of a worker's trie, and terminal counts it remembers; beyond that they are begun anew. Mark before a word.
+NODES, TERMINALS, MARK = 250_000, 400_000, "▁"
 #: Shift of the Zipf-Mandelbrot law that turns a piece's rank into a probability, and log probability of a fallback byte
 #: below that of the rarest piece.
 SHIFT, BYTE_GAP = 2.7, 10.0
@@ -55,13 +55,9 @@ class Trie:
     def clear(self) -> None:
         self.root: list = [{}, 0.0, 0]
         self.nodes = 1
-        self.known: dict[str, int] = {}
 
     def count(self, pre: str) -> int:
         """Pieces of one pre-token; of equal scores the split with fewer pieces counts."""
-        found = self.known.get(pre)
-        if found is not None:
-            return found
         if self.nodes > self.most:
             self.clear()
         keep = len(pre) <= 64  # the path of a very long pre-token isn't kept
@@ -76,8 +72,6 @@ class Trie:
                     self.nodes += 1
             node = below
             path.append(node)
-        if keep:
-            self.known[pre] = node[2]
         return node[2]
 
     def _extend(self, pre: str, d: int, path: list) -> list:
@@ -117,12 +111,23 @@ def count_tokens(docs: DataFrame, pieces: list[str], *, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "trie" not in cache:
             cache["trie"] = Trie(shared.value)
-        count = cache["trie"].count
+            cache["terminals"] = {}
+        count, terminals = cache["trie"].count, cache["terminals"]
         for b in rows_of(batches):
             out = []
             for text in text_list(b.column(1)):
                 words = Counter(text.encode().split())
-                out.append((sum(words.values()), len(words), sum(n * count(MARK + w.decode()) for w, n in words.items())))
+                tokens = 0
+                for w, n in words.items():
+                    c = terminals.get(w)
+                    if c is None:
+                        c = count(MARK + w.decode())
+                        if len(w) <= 64:
+                            terminals[w] = c
+                    tokens += n * c
+                out.append((sum(words.values()), len(words), tokens))
+            if len(terminals) > TERMINALS:
+                terminals.clear()
             cols = [pa.array(c, pa.int64()) for c in zip(*out)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_words", "n_distinct", "n_tokens"])
 
