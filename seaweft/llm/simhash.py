@@ -11,7 +11,7 @@ holds more than two blocks of one entry and no link between different fingerprin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -280,13 +280,39 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int =
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates_wide(docs: DataFrame, *, shingle: int = 5, width: int = WIDTH, max_bits: int = 7, most: float = MOST_APART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tree(values: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of a spanning forest of the rows that are near each other, by near(row, other rows)."""
+    left, out_a, out_b = np.arange(len(values)), [], []
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            a = todo.pop()
+            close = near(values[a], values[left])
+            found = left[close]
+            out_a.append(np.full(len(found), a))
+            out_b.append(found)
+            todo += list(found)
+            left = left[~close]
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (left, left)
+
+
+def in_blocks(families: DataFrame, block: int) -> DataFrame:
+    """(run, node) of families (node, root): a run is a family, or two blocks of one that has more than `block` nodes."""
+    sizes = families.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    cut = join_hot(families, sizes, "root", "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = cut.withColumn("other", F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x != mine))")))
+    run = F.when(F.col("blocks") == 1, F.col("root")).otherwise(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")))
+    return pairs.select(run.alias("run"), "node")
+
+
+def near_duplicates_wide(docs: DataFrame, *, shingle: int = 5, width: int = WIDTH, max_bits: int = 7, most: float = MOST_APART, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) by `width` fingerprints of 64 bits instead of one, for similarities well below 1.
 
     Documents are linked if one of their fingerprints differs by at most `max_bits` bits, and all of them together by at
     most a share `most` of the bits. A pair of five-word shingle similarity 0.8 differs in 15 % of the bits on average,
-    so a single fingerprint within 7 bits finds about one such pair in four, and six find most. Fingerprints that
-    many documents share are linked to one of them. Nulls and repeated rows are as in `near_duplicates`.
+    so a single fingerprint within 7 bits finds about one such pair in four, and six find most. Links by one fingerprint
+    make families; in these the whole test is made, and only a pair whose ends linked ones connect already is passed over.
+    Nulls and repeated rows are as in `near_duplicates`.
     """
     bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -302,11 +328,17 @@ def near_duplicates_wide(docs: DataFrame, *, shingle: int = 5, width: int = WIDT
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), width)), pa.array(np.tile(np.arange(width, dtype=np.int32), n)), pa.array(fps)], ["node", "space", "fp"])
 
+    def near(x: np.ndarray, left: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(left ^ x)
+        return (apart.min(1) <= max_bits) & (apart.sum(1, dtype=np.int64) <= most * 64 * width)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows_of(batches):
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, width) for i in (2, 3))
-            near = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most * 64 * width
-            yield b.select(["a", "b"]).filter(pa.array(near))
+        for runs, nodes, fps in _whole_runs(batches, 3):
+            edge = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1], [True]]))
+            values = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, width)
+            found = [(nodes[i:j][a], nodes[i:j][b]) for i, j in zip(edge, edge[1:]) for a, b in [tree(values[i:j], near)] if len(a)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
 
     marked = durable(source.mapInArrow(mark, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fps binary").withColumn("node", F.xxhash64("fps")))
     kinds = durable(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fps").alias("fps")))
@@ -315,9 +347,9 @@ def near_duplicates_wide(docs: DataFrame, *, shingle: int = 5, width: int = WIDT
     shared = values.join(reps, ["space", "fp"]).where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     end = lambda n: reps.select("space", F.col("fp").alias(n), F.col("rep").alias(f"{n}_node"))
     between = links(reps, max_bits=max_bits).join(end("a"), ["space", "a"]).join(end("b"), ["space", "b"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    full = lambda n: kinds.select(F.col("node").alias(n), F.col("fps").alias(f"{n}_fps"))
-    pairs = shared.unionByName(between).distinct().join(full("a"), "a").join(full("b"), "b").select("a", "b", "a_fps", "b_fps")
-    roots = components(pairs.mapInArrow(verify, "a bigint, b bigint"))
+    # unverified links only say which documents may be linked; the whole test is made inside these families
+    families = durable(components(shared.unionByName(between).distinct()))
+    roots = components(in_blocks(families, block).join(kinds.select("node", "fps"), "node").select("run", "node", "fps").repartition("run").sortWithinPartitions("run", "node").mapInArrow(verify, "a bigint, b bigint"))
     lowest = kinds.join(roots, "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = join_hot(roots, lowest, "root", "node").select("node", "component_id")
     named = durable(kinds.join(linked, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")))

@@ -133,3 +133,16 @@ def test_wide_against_brute_force(spark):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(docs).collect()} == {d: find(d) for d in fps}
+
+
+def test_wide_tests_pairs_before_it_drops_links(spark, monkeypatch):
+    # texts are fingerprints: all are within 5 bits of each other in the first one, only a document and its copy in all
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda text, *_: np.array([int(x) for x in text.split(",")], np.uint64))
+    rng = random.Random(5)
+    hub, rows = rng.getrandbits(64), []
+    for k, (i, j) in enumerate(rng.sample([(i, j) for i in range(40) for j in range(i)], 600)):
+        first, *others = hub ^ 1 << i ^ 1 << j, *(rng.getrandbits(64) for _ in range(simhash.WIDTH - 1))
+        rows += [(2 * k + copy, ",".join(map(str, [first ^ copy << 41, *others]))) for copy in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (simhash.BLOCK, 100):
+        assert {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(df, block=block).collect()} == {d: d - d % 2 for d, _ in rows}
