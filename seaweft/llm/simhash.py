@@ -306,7 +306,9 @@ def in_blocks(families: DataFrame, block: int) -> DataFrame:
 
 
 def near_duplicates_wide(docs: DataFrame, *, shingle: int = 5, width: int = WIDTH, max_bits: int = 7, most: float = MOST_APART, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) by `width` fingerprints of 64 bits instead of one, for similarities well below 1.
+    """(doc_id, component_id, root, text_hash) by `width` fingerprints of 64 bits instead of one, for similarities well below 1.
+
+    A component's root tells it from others whose smallest id is the same or null; text_hash tells rows of one id apart.
 
     Documents are linked if one of their fingerprints differs by at most `max_bits` bits, and all of them together by at
     most a share `most` of the bits. A pair of five-word shingle similarity 0.8 differs in 15 % of the bits on average,
@@ -315,12 +317,12 @@ def near_duplicates_wide(docs: DataFrame, *, shingle: int = 5, width: int = WIDT
     Nulls and repeated rows are as in `near_duplicates`.
     """
     bound_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
             fps = [wide_fingerprint(t, shingle, SEED, width).astype("<u8").tobytes() for t in text_list(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fps"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary())], ["doc_id", "text_hash", "fps"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
@@ -340,7 +342,7 @@ def near_duplicates_wide(docs: DataFrame, *, shingle: int = 5, width: int = WIDT
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
 
-    marked = durable(source.mapInArrow(mark, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fps binary").withColumn("node", F.xxhash64("fps")))
+    marked = durable(source.mapInArrow(mark, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_hash bigint, fps binary").withColumn("node", F.xxhash64("fps")))
     kinds = durable(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fps").alias("fps")))
     values = durable(kinds.select("node", "fps").mapInArrow(spread, "node bigint, space int, fp bigint"))
     reps = durable(values.groupBy("space", "fp").agg(F.min("node").alias("rep")))
@@ -351,9 +353,9 @@ def near_duplicates_wide(docs: DataFrame, *, shingle: int = 5, width: int = WIDT
     families = durable(components(shared.unionByName(between).distinct()))
     roots = components(in_blocks(families, block).join(kinds.select("node", "fps"), "node").select("run", "node", "fps").repartition("run").sortWithinPartitions("run", "node").mapInArrow(verify, "a bigint, b bigint"))
     lowest = kinds.join(roots, "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = join_hot(roots, lowest, "root", "node").select("node", "component_id")
-    named = durable(kinds.join(linked, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")))
-    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    linked = join_hot(roots, lowest, "root", "node").select("node", "component_id", "root")
+    named = durable(kinds.join(linked, "node", "left").select("node", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "node").alias("root")))
+    return marked.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "component_id", "root", "text_hash")
 
 
 def hex_of(fp: str) -> Column:
@@ -362,13 +364,19 @@ def hex_of(fp: str) -> Column:
 
 
 def keep_one(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component (doc_id, component_id), with all its columns: that of the smallest id; of rows that repeat
-    an id, one for each component.
+    """One row of each component, with all its columns: that of the smallest id, rows without an id last; of texts that
+    share this id, the lowest by hash.
 
-    Rows without an id are kept only where no row of their component has one, and then once.
+    `found` has (doc_id, root, text_hash) of every row. Without the last two (`near_duplicates`), one row of each id that
+    is its component's smallest is kept, so ids should be unique and not null.
     """
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")))
-    # repeated ids are next to each other after the join, so this sorts but doesn't shuffle again
-    once = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(text_col)))
+    if "root" in found.columns:
+        first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))).alias("low"))
+        keep = first.select("low.__id", "low.__hash")
+        kept = docs.join(keep, (F.xxhash64(text_col) == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")))
+        once = F.row_number().over(Window.partitionBy("__hash", "__id").orderBy("__hash"))
+    else:
+        keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+        kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")))
+        once = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(text_col)))
     return kept.withColumn("__row", once).where("__row = 1").select(*docs.columns)

@@ -146,3 +146,11 @@ def test_wide_tests_pairs_before_it_drops_links(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     for block in (simhash.BLOCK, 100):
         assert {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(df, block=block).collect()} == {d: d - d % 2 for d, _ in rows}
+
+
+def test_keep_one_keeps_each_component_of_null_and_repeated_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(1, a), (7, a), (7, b), (7, c), (7, c), (None, d), (None, d), (None, e), (None, a), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = simhash.keep_one(df, simhash.near_duplicates_wide(df)).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, a), (7, b), (7, c), (None, d), (None, e), (9, "")], key=repr)
