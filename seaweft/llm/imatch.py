@@ -3,7 +3,8 @@
 The lexicon has the terms whose inverse document frequency lies in a band. Terms are known by hashes of 48 bits. A
 document's terms are its distinct words in the lexicon. Each of many random subsets of the lexicon picks some of them; these are sorted and hashed, which gives one
 signature a subset. Subsets differ in rate, so that short and long documents both have subsets that pick a few terms; a
-subset that picks none, or more than MOST, gives no signature. Likeness is the share of signatures that agree.
+subset that picks more than CROWD is thinned by 2^-RATES, again if need be, so that rates reach as low as any text requires.
+A subset that picks none, or more than MOST, gives no signature. Likeness is the share of signatures that agree.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ LEAST_IDF, MOST_IDF = math.log(5), math.log(1000)
 #: Subsets of the lexicon, their rates (powers of 1/2), terms that a signature may have, and terms in the band that a
 #: document needs; one with fewer uses all its words.
 SUBSETS, RATES, MOST, FEW = 128, 11, 3, 4
+#: Picks above which a subset is thinned. At this many a thinned subset picks hardly any, so near texts on either side agree.
+CROWD = 128
 #: Distinct terms a task counts before it passes them on, rows of a range of ids, and ranges at most.
 HELD, RANGE_ROWS, RANGES = 300_000, 4096, 20_000
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -65,6 +68,14 @@ def signatures(hashes: np.ndarray, packed: np.ndarray) -> np.ndarray:
     if not len(subset):
         return out
     n = np.bincount(subset, minlength=SUBSETS)
+    shift = _SHIFT.copy()
+    while (crowded := (n > CROWD) & (shift >= RATES)).any():
+        shift[crowded] -= np.uint64(RATES)
+        stays = ~crowded[subset]
+        at = np.flatnonzero(~stays)
+        stays[at] = _mix(hashes[term[at]] + _SALT[subset[at]]) >> shift[subset[at]] == 0
+        subset, term = subset[stays], term[stays]
+        n = np.bincount(subset, minlength=SUBSETS)
     first = np.cumsum(n) - n
     fits = (n[subset] <= MOST)
     subset, term, place = subset[fits], term[fits], (np.arange(len(subset)) - first[subset])[fits]

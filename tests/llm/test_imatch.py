@@ -64,3 +64,13 @@ def test_edge_rows(spark, monkeypatch):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert imatch.compare_edited(empty, imatch.fit(empty)).collect() == []
     assert {r.fingerprint for r in imatch.fingerprint(spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string"), imatch.Lexicon([])).collect()} == {"0" * 8 * imatch.SUBSETS}
+
+
+def test_long_texts_have_signatures_that_tell_them_apart():
+    for n in (3_000, 20_000, 50_000, 400_000):
+        words = [f"w{i}" for i in range(2 * n)]
+        lexicons = [imatch.Lexicon(sorted(imatch.term_hash(w.encode()) for w in words)), imatch.Lexicon([])]
+        for lex in lexicons[: 1 + (n < 100_000)]:  # terms of the band, and a text without any
+            a, near, far = (lex.signature(" ".join(x)) for x in (words[:n], words[n // 100 : n], words[n:]))
+            assert (a != 0).sum() >= 10 and (far != 0).sum() >= 10, n
+            assert imatch.likeness(a, near) > 0.8 and imatch.likeness(a, far) < 0.1 and imatch.likeness(a, lex.signature("")) == 0.0
