@@ -7,6 +7,7 @@ first. Coverage is the share of the template's words that the alignment matches.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -79,6 +80,19 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, bit-parallel: no alignment has more pairs."""
+    places: dict[str, int] = {}
+    for j, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for w in a:
+        if at := row & places.get(w, 0):
+            row = ((row + at) | (row - at)) & full
+    return len(b) - row.bit_count()
+
+
 class Scanner:
     """Finds templates in texts."""
 
@@ -122,19 +136,38 @@ class Scanner:
                 else:
                     windows.append([start, i])
         for start, end in windows:
-            at = start
-            while at <= end:
-                part = text[at : min(end + 1, at + 2 * span)]
-                pairs = align(part, words)
-                pairs = self._dense(pairs, span, least)
-                if not pairs:
-                    at += span
-                    continue
-                first, last = at + pairs[0][0], at + pairs[-1][0] + 1
-                hits.append((len(pairs) / len(words), first, last, len(pairs)))
-                at = last
+            hits += self._between(text, start, end + 1, words, need, span, least)
+        return [(n / len(words), first, last, n) for first, last, n in hits]
+
+    def _between(self, text: list[str], at: int, stop: int, words: list[str], need: Counter, span: int, least: float) -> list[tuple[int, int, int]]:
+        # (first word, end, matched words) of hits from left to right: every start is tried, so none steps over another
+        hits = []
+        while stop - at >= least:
+            best = self._at(text, at, stop, words, span, least) if text[at] in need else None
+            if best is None:
+                at += 1
+                continue
+            # the window may end inside the stretch: of the starts before it, the one that matches most, then the tightest
+            for k in range(at + 1, best[1] - math.ceil(least) + 1):
+                if text[k] in need and (hit := self._at(text, k, stop, words, span, least)) and (hit[2], hit[0] - hit[1]) > (best[2], best[0] - best[1]):
+                    best = hit
+            if best[0] - at >= least:
+                hits += self._between(text, at, best[0], words, need, span, least)
+            hits.append(best)
+            at = best[1]
         return hits
 
+    def _at(self, text: list[str], at: int, stop: int, words: list[str], span: int, least: float) -> tuple[int, int, int] | None:
+        # windows of a span, and of the template's length: the shorter one has no second copy that takes the anchors away
+        best = None
+        if longest_common(text[at : min(stop, at + span)], words) < least:
+            return None
+        for size in sorted({span, len(words)}, reverse=True):
+            pairs = self._dense(align(text[at : min(stop, at + size)], words), span, least)
+            if pairs and (best is None or len(pairs) > best[2]):
+                best = at + pairs[0][0], at + pairs[-1][0] + 1, len(pairs)
+        return best
+
     @staticmethod
     def _dense(pairs: list[tuple[int, int]], span: int, least: float) -> list[tuple[int, int]]:
         """The most pairs within `span` words, if they are enough."""

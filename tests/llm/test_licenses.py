@@ -53,3 +53,12 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, t, 1), (3, t, 1), (3, t, 1), (4, "x " * 200_000 + t, 1)], "doc_id bigint, text string, license int")
     assert sorted((r.doc_id is None, r.doc_id, r.first_word) for r in lic.scan(df).collect()) == [(False, 3, 0), (False, 3, 0), (False, 4, 200_000), (True, None, 0)]
     assert lic.scan(df.limit(0)).collect() == [] and lic.scan(df, {"none": " .. "}).collect() == []
+
+
+def test_adjacent_copies_are_found_each():
+    scanner = lic.Scanner(lic.TEMPLATES)
+    for name, text in lic.TEMPLATES.items():
+        n = len(lic.words_of(text))
+        for copies, gap in itertools.product(range(1, 7), (0, 2)):
+            got = [h for h in scanner.scan(" ".join(["other"] * 40 + ([text] + ["between"] * gap) * copies + ["after"] * 30)) if h[0] == name]
+            assert got == [(name, 1.0, at, at + n, n) for at in range(40, 40 + copies * (n + gap), n + gap)], (name, copies, gap, got)
