@@ -22,7 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("low"))
         lower = labels.join(around.withColumnRenamed("a", "node"), "node").withColumn("low", F.least("root", "low"))
-        votes = lower.select("node", F.col("low").alias("to")).unionByName(lower.select(F.col("root").alias("node"), F.col("low").alias("to")))
+        # votes for a root that many nodes share are counted in several tasks before they meet
+        of_root = lower.groupBy(F.col("root").alias("node"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")).agg(F.min("low").alias("to"))
+        votes = lower.select("node", F.col("low").alias("to")).unionByName(of_root.select("node", "to"))
         hooked = durable(votes.groupBy("node").agg(F.min("to").alias("root")))
         # the nodes of a large component share a root: it is looked up once and the answer dealt out to several tasks
         used = hooked.select(F.col("root").alias("node")).distinct()
