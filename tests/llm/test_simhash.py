@@ -54,18 +54,25 @@ def clustered(n, seed):
     return sorted(fps)
 
 
-@pytest.mark.parametrize("listed_to,block", [(32, 4096), (2, 5), (1, 3)])
-@pytest.mark.parametrize("most", [1, 3, 4, 7])
-def test_components_equal_brute_force(spark, listed_to, block, most):
+@pytest.mark.parametrize("most,limits", [(1, {}), (3, {}), (4, {}), (7, {}), (4, {"listed_to": 2, "block": 5, "lot": 40, "weight": 200}), (7, {"listed_to": 1, "block": 3, "lot": 2, "weight": 65})])
+def test_components_equal_brute_force(spark, limits, most):
     fps = clustered(260, most)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), max_bits=most, listed_to=listed_to, block=block)
-    for _, a, b in edges.collect():
-        assert bin((a ^ b) & (1 << 64) - 1).count("1") <= most
-    roots = {r.node: r.root for r in simhash.components(edges.select("a", "b")).collect()}
+    roots = {r.fp: r.root for r in simhash.fingerprint_roots(spark.createDataFrame([(x,) for x in signed], "fp bigint"), max_bits=most, **limits).collect()}
     assert {x: roots.get(x, x) for x in signed} == brute_components(signed, [x & (1 << 64) - 1 for x in signed], most)
 
 
+def test_each_link_is_emitted_once(spark):
+    centre = random.Random(1).getrandbits(64)
+    fps = {centre ^ 1 << i for i in range(20)} | {centre}  # all within 2 bits: they share most entries
+    sigs = [(i, x.to_bytes(8, "little")) for i, x in enumerate(sorted(fps))]
+    kinds = spark.createDataFrame(sigs, "node bigint, sig binary")
+    pairs = [(r.a, r.b) for r in simhash.links(kinds).collect()]
+    assert len(pairs) == len({frozenset(p) for p in pairs}) == 21 * 20 // 2
+    assert len(simhash.links(kinds, listed_to=1).collect()) < 3 * 21  # forests of nearly the same trees
+    assert len(simhash.links(kinds, listed_to=1, block=4).collect()) < 6 * 21
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(400)], "a bigint, b bigint")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
@@ -93,59 +100,124 @@ def test_edge_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).collect() == []
 
 
-def test_spaces_are_apart(spark):
-    fps = [(0, 0), (0, 1), (1, 1), (1, 3), (2, 7)]
-    got = {tuple(r) for block in (1, 4096) for r in simhash.links(spark.createDataFrame(fps, "space int, fp bigint"), listed_to=min(block, 32), block=block).collect()}
-    assert {(s, *sorted((a, b))) for s, a, b in got} == {(0, 0, 1), (1, 1, 3)}
+def sets_of(texts, size=5):
+    out = {}
+    for d, t in texts.items():
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        out[d] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+    return out
 
 
-def test_wide_finds_similar_documents_and_no_others(spark):
-    rng = random.Random(8)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    rows, pairs = [], []
-    for i in range(150):
-        base = [word() for _ in range(300)]
-        copy = list(base)
-        for at in rng.sample(range(300), 5):  # about 25 of 296 shingles: similarity 0.84
-            copy[at] = word()
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
-        pairs.append((2 * i, 2 * i + 1))
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert sum(got[a] == got[b] for a, b in pairs) / len(pairs) > 0.85
-    assert all(c in (d, d - d % 2) for d, c in got.items())
+def similar_pairs(sets):
+    """Similarity of every pair that shares a shingle, by an inverted index."""
+    holders, shared = {}, Counter()
+    for d, s in sets.items():
+        for x in s:
+            for other in holders.setdefault(x, []):
+                shared[other, d] += 1
+            holders[x].append(d)
+    return {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in shared.items()}
 
 
-def test_wide_against_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    fps = {d: simhash.wide_fingerprint(t, 5, 42, simhash.WIDTH) for d, t in texts.items()}
-    near = lambda a, b: min(np.bitwise_count(fps[a] ^ fps[b])) <= 7 and np.bitwise_count(fps[a] ^ fps[b]).sum() <= simhash.MOST_APART * 64 * simhash.WIDTH
-    root = {d: d for d in fps}
+def brute_classes(sets, pairs, least=0.8):
+    root = {d: d for d in sets}
 
     def find(d):
         while root[d] != d:
             d = root[d]
         return d
 
-    for a in fps:
-        for b in fps:
-            if a < b and near(a, b):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    assert {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(docs).collect()} == {d: find(d) for d in fps}
-
-
-def test_wide_tests_pairs_before_it_drops_links(spark, monkeypatch):
-    # texts are fingerprints: all are within 5 bits of each other in the first one, only a document and its copy in all
-    monkeypatch.setattr(simhash, "wide_fingerprint", lambda text, *_: np.array([int(x) for x in text.split(",")], np.uint64))
-    rng = random.Random(5)
-    hub, rows = rng.getrandbits(64), []
-    for k, (i, j) in enumerate(rng.sample([(i, j) for i in range(40) for j in range(i)], 600)):
-        first, *others = hub ^ 1 << i ^ 1 << j, *(rng.getrandbits(64) for _ in range(simhash.WIDTH - 1))
-        rows += [(2 * k + copy, ",".join(map(str, [first ^ copy << 41, *others]))) for copy in range(2)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for block in (simhash.BLOCK, 100):
-        assert {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(df, block=block).collect()} == {d: d - d % 2 for d, _ in rows}
+    empty = [d for d, s in sets.items() if not s]
+    for a, b in [p for p, j in pairs.items() if j >= least - 1e-12] + list(zip(empty, empty[1:])):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {d: find(d) for d in sets}
+
+
+LIMITS = [{}, {"listed_to": 2, "block": 4, "lot": 30, "weight": 3000}]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_wide_against_brute_force(spark, sf, limits):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    sets = sets_of({r.doc_id: r.text for r in docs.collect()})
+    want = brute_classes(sets, similar_pairs(sets))
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(docs, **limits).collect()} == want
+
+
+def test_wide_on_ten_thousand_documents(spark):
+    """Recall by band of similarity, and no link that exact similarity doesn't make."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(docs).collect()}
+    sets = sets_of({r.doc_id: r.text for r in docs.collect()})
+    pairs = similar_pairs(sets)
+    want = brute_classes(sets, pairs)
+    assert all(want[d] == want[c] for d, c in got.items())
+    for low, high in ((0.8, 0.85), (0.85, 1), (1, 2)):
+        band = [p for p, j in pairs.items() if low - 1e-12 <= j < high - 1e-12]
+        assert len(band) > 30 and sum(got[a] == got[b] for a, b in band) >= 0.95 * len(band)
+
+
+def test_wide_at_the_threshold(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = {}
+    for i in range(400):
+        base = [word() for _ in range(rng.choice([24, 60, 300]))]
+        copy = list(base)
+        # a replaced word changes five shingles: of 20 to 296, so that similarities lie on both sides of 0.8
+        for at in rng.sample(range(2, len(base) - 2), {24: 1, 60: rng.choice([1, 2]), 300: rng.choice([5, 6, 7])}[len(base)]):
+            copy[at] = word()
+        texts |= {2 * i: " ".join(base), 2 * i + 1: " ".join(copy)}
+    sets = sets_of(texts)
+    pairs = similar_pairs(sets)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    linked = {(a, b) for a, b in pairs if got[a] == got[b]}
+    close = {p for p, j in pairs.items() if j >= 0.8}
+    assert len(close) > 100 and len(pairs) - len(close) > 100
+    assert linked <= close and len(linked) >= 0.95 * len(close)
+
+
+@pytest.mark.parametrize("limits", [{}, {"weight": 4000, "block": 50, "lot": 400}])
+def test_wide_on_large_mixed_groups(spark, limits):
+    """A template's texts of pairwise similarity about 0.7 to 0.9, a group of near copies of one text, and exact copies."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    template, texts = [word() for _ in range(120)], {}
+    for _ in range(700):
+        copy = list(template)
+        for at in rng.sample(range(120), rng.choice([1, 1, 2, 3, 4])):
+            copy[at] = word()
+        texts[len(texts)] = " ".join(copy)
+    drift = [word() for _ in range(150)]
+    for _ in range(300):  # each is near the one before it only
+        drift[rng.randrange(150)] = word()
+        texts[len(texts)] = " ".join(drift)
+    for _ in range(500):
+        texts[len(texts)] = " ".join(template)
+    sets = sets_of(texts)
+    want = brute_classes(sets, similar_pairs(sets))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), **limits).collect()}
+    assert got == want and 1 < len(set(want.values())) < 700
+
+
+def test_wide_keeps_a_link_whose_ends_share_a_third_neighbour():
+    """x is near y and z by fingerprints but not by shingles; y and z are similar."""
+    x, y, z = np.arange(0, 100), np.arange(30, 130), np.arange(31, 131)
+    grams = np.concatenate([x, y, z]).astype(np.uint64)
+    found = simhash.settle(np.arange(3), np.zeros((3, 1), np.uint64), grams, np.array([0, 100, 200, 300]), lambda d: np.ones(len(d), bool), 0.8)
+    assert [tuple(sorted(p)) for p in found] == [(1, 2)]
+
+
+def test_wide_edge_rows(spark):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    near = " ".join(f"w{i}" for i in range(3_000, 120_000))
+    rows = [(1, "", 1, 1), (2, None, 1, 1), (3, " \n ", 1, 1), (4, "two words", 1, 1), (5, "Two  words", 1, 1), (6, "two words more", 1, 1), (7, long, 1, 1), (8, near, 1, 1), (8, near, 1, 1), (None, long, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, node int, root int")
+    got = sorted({(r.doc_id, r.component_id) for r in simhash.near_duplicates_wide(df).collect()}, key=repr)
+    assert got == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7), (8, 7), (None, 7)], key=repr)
+    assert sorted(r.doc_id for r in simhash.keep_one(df, simhash.near_duplicates_wide(df)).collect()) == [1, 4, 6, 7]
 
 
 def test_keep_one_keeps_each_component_of_null_and_repeated_ids(spark):
