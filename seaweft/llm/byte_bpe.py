@@ -8,6 +8,7 @@ the pair of lowest rank, leftmost first, so a pre-token of n bytes takes O(n log
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Callable, Iterable, Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from seaweft.llm.common import bound_batches, rows_of, text_list
 
 #: Distinct pre-tokens a worker remembers, in each of two generations, and the longest it remembers.
-MEMO, MEMO_CHARS = 250_000, 48
+MEMO, MEMO_CHARS = 150_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -197,6 +198,25 @@ def _plus(df: DataFrame, more: str) -> str:
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every text: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    both = decode(encode(docs, ranks_path, pattern, id_col=id_col, text_col=text_col), ranks_path, pattern)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Encode and decode every text: (doc_id, n_tokens long, ids_sha256, decoded_sha256, both lower-case hex).
+
+    Both ways are gone in one pass, so that a task has one Python worker with one vocabulary. A null text is the empty
+    text: no tokens, and the digests of no bytes. Null ids, repeated rows and other columns are as in `encode`; texts of any
+    length are taken whole.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(Codec(read_ranks(ranks_path), pattern))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec: Codec = shared.value
+        for b in rows_of(batches):
+            out = []
+            for text in text_list(b.column(1)):
+                ids = codec.encode(text)
+                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
+            n, ids_sha, text_sha = zip(*out)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
