@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -92,7 +94,12 @@ class Lexicon:
                 spared.append((start, end))
             else:
                 found[start] = max(weight, found.get(start, 0.0))
-        return {s: w for s, w in found.items() if not any(a <= s <= b for a, b in spared)} if spared and found else found
+        if not spared or not found:
+            return found
+        # the furthest end of the phrases that begin up to each place decides, so this is linear but for sorting
+        spared.sort()
+        starts, ends = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        return {s: w for s, w in found.items() if not (k := bisect_right(starts, s)) or ends[k - 1] < s}
 
     def raw(self, text: str) -> tuple[float, int]:
         """Summed weight and number of words."""
@@ -230,7 +237,11 @@ def score(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows whose text scores below the threshold, with all their columns."""
+    """The rows whose text scores below the threshold, with all their columns and whatever their names.
+
+    A null or empty text has no hits and stays, unless the calibration puts that at the threshold; repeated rows and null ids
+    are judged like others; texts of any length are judged whole; an empty table stays empty.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(lexicon)
