@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from seaweft.checkpoints import durable
 from seaweft.functions import scalar
+from seaweft.operators.grid import number
+
+#: Columns that one-hot encoding may make of one.
+MOST_COLUMNS = 5_000
 
 
 def calendar(df: DataFrame) -> DataFrame:
@@ -40,12 +44,27 @@ def changes(df: DataFrame) -> DataFrame:
 
 
 def fill(df: DataFrame, columns: Sequence[str], *, whole_table: bool = False) -> DataFrame:
-    """Fill gaps forward, then backward, along a vessel's reports (or, as one sequence, along the whole table)."""
-    keys = [] if whole_table else ["mmsi"]
-    order = ["mmsi", "base_date_time", "event_seq"] if whole_table else ["base_date_time", "event_seq"]
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """Fill gaps forward, then backward, along a vessel's reports (or, as one sequence, along the whole table).
+
+    The whole table is cut into ranges of the sequence. Each is filled by a window of its own; what it takes from the
+    ranges before and after it is found among one row for each range.
+    """
+    if not whole_table:
+        w = Window.partitionBy("mmsi").orderBy("base_date_time", "event_seq")
+        past, rest = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(rest)) for c in columns})
+    order = ["mmsi", "base_date_time", "event_seq"]
+    ranges = durable(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    ends = ranges.groupBy("__range").agg(*(f(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("v")))).v.alias(f"__{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))))
+    # a row for each range, in one task: as many as there are shuffle partitions
+    every = Window.orderBy("__range")
+    before, after = every.rowsBetween(Window.unboundedPreceding, -1), every.rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select("__range", *(F.last(f"__hi_{c}", ignorenulls=True).over(before).alias(f"__before_{c}") for c in columns), *(F.first(f"__lo_{c}", ignorenulls=True).over(after).alias(f"__after_{c}") for c in columns))
+    w = Window.partitionBy("__range").orderBy(*order)
     past, rest = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(rest)) for c in columns})
+    joined = ranges.join(F.broadcast(carried), "__range")
+    filled = joined.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.col(f"__before_{c}"), F.first(c, ignorenulls=True).over(rest), F.col(f"__after_{c}")) for c in columns})
+    return filled.select(*df.columns)
 
 
 def impute(df: DataFrame, medians: Sequence[str] = ("sog",), modes: Sequence[str] = ("cog",)) -> DataFrame:
@@ -79,14 +98,16 @@ def scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def factorise(df: DataFrame, column: str, order: Sequence[str] = ("mmsi", "base_date_time", "event_seq")) -> DataFrame:
     """`<column>_encoded`: codes in the order in which values first appear; null is a value."""
-    first = df.groupBy(column).agg(F.min(F.struct(*order)).alias("__first"))
-    codes = first.withColumn(f"{column}_encoded", (F.row_number().over(Window.orderBy("__first")) - 1)).select(F.col(column).alias("__value"), f"{column}_encoded")
-    return df.join(F.broadcast(codes) if codes.count() <= 10_000 else codes, F.col(column).eqNullSafe(F.col("__value"))).drop("__value")
+    first = durable(df.groupBy(column).agg(F.min(F.struct(*order)).alias("__first")))
+    codes = first.join(number(first, "__first", f"{column}_encoded"), "__first").select(F.col(column).alias("__value"), f"{column}_encoded")
+    return df.join(F.broadcast(codes) if first.count() <= 10_000 else codes, F.col(column).eqNullSafe(F.col("__value"))).drop("__value")
 
 
 def one_hot(df: DataFrame, column: str) -> DataFrame:
-    """`<column>_<value>` for every value but the first in order."""
-    values = sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
+    """`<column>_<value>` for every value but the first in order; more than MOST_COLUMNS values are an error."""
+    values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect())
+    if len(values) > MOST_COLUMNS:
+        raise ValueError(f"{column} has over {MOST_COLUMNS} values: too many to be a column each")
     return df.withColumns({f"{column}_{v}": F.coalesce(F.col(column) == v, F.lit(False)) for v in values[1:]})
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,20 +61,50 @@ def tolerances(xy: np.ndarray) -> np.ndarray:
         at = int(d.argmax())
         cut, here = s + 1 + at, min(float(d[at]), cap)
         tol[cut] = here
+        if here == 0.0:  # all of the stretch lies on the line: nothing below is above 0 either
+            continue
         todo += [(s, cut, here), (cut, e, here)]
     return tol
 
 
 def with_tolerance(tracked: DataFrame, key: str = "trajectory_id") -> DataFrame:
-    """(mmsi, trajectory_id, point_order, event_seq, lon, lat, tolerance): one pass that serves every gamma."""
+    """(mmsi, trajectory_id, point_order, event_seq, lon, lat, tolerance): one pass that serves every gamma.
+
+    Tracks are dealt out by key, sorted inside a task, and streamed: a task holds one track and a batch at a time. A track is
+    simplified as a whole, as its splits depend on its ends, so the memory of a task follows the longest track.
+    """
     cols = ["mmsi", key, "point_order", "event_seq", "lon", "lat"]
     kinds = "mmsi bigint, {} string, point_order int, event_seq bigint, lon double, lat double, tolerance double".format(key)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_order", kind="stable")
-        return pdf.assign(tolerance=tolerances(pdf[["lon", "lat"]].to_numpy(float)))
-
-    return tracked.select(*cols).groupBy(key).applyInPandas(run, kinds)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Tolerances of whole tracks."""
+            table = table.combine_chunks()
+            ids = table.column(1).combine_chunks().dictionary_encode()
+            codes = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).indices.to_numpy()
+            xy = np.stack([table.column(i).to_numpy().astype(float) for i in (4, 5)], 1)
+            edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1], [True]]))
+            tol = np.concatenate([tolerances(xy[i:j]) for i, j in zip(edge, edge[1:])])
+            yield from table.append_column("tolerance", pa.array(tol)).to_batches()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last = b.column(1)[b.num_rows - 1]
+            if held and b.column(1)[0] != held[-1].column(1)[0]:
+                yield from done(pa.Table.from_batches(held))
+                held = []
+            cut = pc.index(b.column(1), last).as_py()  # the last track may go on in the next batch
+            if cut:
+                yield from done(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    return tracked.select(*cols).repartition(key).sortWithinPartitions(key, "point_order").mapInArrow(run, kinds)
 
 
 def keep(gamma: float | Column) -> Column:

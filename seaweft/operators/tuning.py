@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import astuple, dataclass
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ def latest(results: DataFrame, order: str) -> DataFrame:
     return results.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+#: The weights of the terms of both scores stand in the two expressions below.
 def port_score(effective: Column, coverage: Column, largest: Column, speed_term: Column, low: float | None, high: float | None) -> Column:
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     return 0.50 * alignment(effective, low, high) + 0.25 * clip(coverage) + 0.20 * (1 - clip(largest)) + 0.05 * speed_term
@@ -59,18 +61,26 @@ def waypoint_score(ld: Column, coverage: Column, largest: Column, nodes: Column,
     return 0.35 * ld + 0.20 * clip(coverage) + 0.15 * (1 - clip(largest)) + 0.15 * alignment(nodes, low, high) + 0.10 * density + 0.05 * depth
 
 
-def _median(xs: Sequence[int]) -> float:
-    xs = sorted(xs)
-    return (xs[(len(xs) - 1) // 2] + xs[len(xs) // 2]) / 2 if xs else 0.0
+def labelled_cells(cells: DataFrame) -> DataFrame:
+    """(kind, clique_x, clique_y, n, cluster_id) of dense cells (kind, neighbor_mode, clique_x, clique_y, n).
+
+    A kind is one grid with one threshold; it has k * k cells at most, whatever the number of points, and is one task's.
+    """
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = list(zip(pdf.clique_x.tolist(), pdf.clique_y.tolist()))
+        found = grid.label_cells(at, int(pdf.neighbor_mode.iloc[0]))
+        return pdf[["kind", "clique_x", "clique_y", "n"]].assign(cluster_id=[found[c] for c in at])
+
+    return cells.groupBy("kind").applyInPandas(label, "kind int, clique_x int, clique_y int, n bigint, cluster_id int")
 
 
 def sweep_ports(points: DataFrame, wanted: Sequence[Trial], *, min_port_points: int = 5, low: float | None = None, high: float | None = None, speed_term: float = 1.0) -> DataFrame:
     """A row for each trial with its cluster sizes, transitions and score, best first by `score`.
 
     The points are placed in all grids in one pass, and runs of reports in one cell are collapsed, which changes no
-    transition. Trials of one grid share its cells; those with the same threshold and mode share their clusters. A grid of
-    k has k * k cells at most, whatever the number of points, so clusters are made on the driver. The score takes the
-    speed term as given, because a wall clock gives another result each time.
+    transition. Trials of one grid share its cells; those with the same threshold and mode share their clusters, which one
+    task makes of at most k * k cells. Only bounds and the given trials are on the driver. The score takes the speed term as
+    given, because a wall clock gives another result each time.
     """
     spark = points.sparkSession
     b = grid.bounds(points)
@@ -78,34 +88,38 @@ def sweep_ports(points: DataFrame, wanted: Sequence[Trial], *, min_port_points:
     if b is None or not ks:
         return spark.createDataFrame([], TRIALS)
     at = F.explode(F.array(*map(F.lit, ks)))
-    placed = points.where("lat is not null and lon is not null").select("mmsi", "base_date_time", "event_seq", "lat", "lon", at.alias("k"))
+    known = points.where("lat is not null and lon is not null").select("mmsi", "base_date_time", "event_seq", "lat", "lon")
+    placed = durable(known).withColumn("k", at)
     placed = placed.withColumn("clique_x", b.cell(F.col("k"), "lon")).withColumn("clique_y", b.cell(F.col("k"), "lat")).drop("lat", "lon")
-    cells: dict[int, dict[tuple[int, int], int]] = {k: {} for k in ks}
-    for row in placed.groupBy("k", "clique_x", "clique_y").count().toLocalIterator():
-        cells[row[0]][row[1], row[2]] = row[3]
-    kinds = {(t.k, grid.threshold(b.n, t.r, t.min_dense_points), t.neighbor_mode) for t in wanted}
-    clusters = {(k, least, mode): grid.label_cells((c for c, n in cells[k].items() if n >= least), mode) for k, least, mode in kinds}
-    rows = []
-    for i, t in enumerate(wanted, 1):
-        least = grid.threshold(b.n, t.r, t.min_dense_points)
-        sizes: dict[int, int] = {}
-        for c, label in clusters[t.k, least, t.neighbor_mode].items():
-            sizes[label] = sizes.get(label, 0) + cells[t.k][c]
-        inside, most = sum(sizes.values()), max(sizes.values(), default=0)
-        rows.append((i, *astuple(t), least, b.n, inside / b.n, 1 - inside / b.n, len(sizes), sum(n >= min_port_points for n in sizes.values()), most, most / inside if inside else 0.0, inside / len(sizes) if sizes else 0.0, _median(list(sizes.values()))))
-    shape = spark.createDataFrame(rows, SHAPE)
-    labels = [(k, least, mode, x, y, label) for (k, least, mode), found in clusters.items() for (x, y), label in found.items()]
-    table = spark.createDataFrame(labels, "k int, threshold bigint, neighbor_mode int, clique_x int, clique_y int, cluster_id int")
+    least = [grid.threshold(b.n, t.r, t.min_dense_points) for t in wanted]
+    kinds = {key: i for i, key in enumerate(dict.fromkeys((t.k, n, t.neighbor_mode) for t, n in zip(wanted, least)))}
+    kind_table = F.broadcast(spark.createDataFrame([(i, *key) for key, i in kinds.items()], "kind int, k int, threshold bigint, neighbor_mode int"))  # a row a trial at most
+    cells = placed.groupBy("k", "clique_x", "clique_y").agg(F.count("*").alias("n"))
+    labels = durable(labelled_cells(cells.join(kind_table, "k").where("n >= threshold").select("kind", "neighbor_mode", "clique_x", "clique_y", "n")))
+    sizes = labels.groupBy("kind", "cluster_id").agg(F.sum("n").alias("n"))
+    shape = sizes.groupBy("kind").agg(
+        F.sum("n").alias("inside"), F.count("*").alias("n_clusters"), F.sum((F.col("n") >= min_port_points).cast("long")).alias("effective_ports"),
+        F.max("n").alias("largest_cluster_points"), F.median("n").alias("median_cluster_points"),
+    )
     w = Window.partitionBy("k", "mmsi").orderBy("base_date_time", "event_seq")
     here = F.struct("clique_x", "clique_y")
     runs = placed.withColumn("__before", F.lag(here).over(w)).where(F.col("__before").isNull() | (F.col("__before") != here)).drop("__before")
-    labelled = runs.join(table, ["k", "clique_x", "clique_y"])
-    keys = ["k", "threshold", "neighbor_mode"]
-    v = Window.partitionBy(*keys, "mmsi").orderBy("base_date_time", "event_seq")
+    labelled = runs.join(labels.join(kind_table, "kind").select("kind", "k", "clique_x", "clique_y", "cluster_id"), ["k", "clique_x", "clique_y"])
+    v = Window.partitionBy("kind", "mmsi").orderBy("base_date_time", "event_seq")
     changes = labelled.withColumn("__before", F.lag("cluster_id").over(v)).where("__before is not null and __before != cluster_id")
-    moves = changes.groupBy(*keys, "__before", "cluster_id").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.count("*").alias("edge_count"), F.sum("n").alias("transition_count"))
-    full = shape.join(moves, keys, "left").fillna(0, ["edge_count", "transition_count"])
-    return full.withColumn("score", port_score(F.col("effective_ports"), F.col("coverage_ratio"), F.col("largest_cluster_share"), F.lit(float(speed_term)), low, high))
+    moves = changes.groupBy("kind", "__before", "cluster_id").agg(F.count("*").alias("n")).groupBy("kind").agg(F.count("*").alias("edge_count"), F.sum("n").alias("transition_count"))
+    rows = [(i, *astuple(t), n, kinds[t.k, n, t.neighbor_mode]) for i, (t, n) in enumerate(zip(wanted, least), 1)]
+    table = spark.createDataFrame(rows, "trial bigint, k int, r double, neighbor_mode int, min_dense_points int, threshold bigint, kind int")
+    full = table.join(shape, "kind", "left").join(moves, "kind", "left").drop("kind").fillna(0)
+    total = F.lit(b.n).cast("bigint")
+    full = full.withColumns({
+        "min_dense_points": F.when(F.col("min_dense_points") > 0, F.col("min_dense_points")), "total_points": total,
+        "coverage_ratio": F.col("inside") / total, "noise_ratio": 1 - F.col("inside") / total,
+        "largest_cluster_share": F.when(F.col("inside") > 0, F.col("largest_cluster_points") / F.col("inside")).otherwise(0.0),
+        "mean_cluster_points": F.when(F.col("n_clusters") > 0, F.col("inside") / F.col("n_clusters")).otherwise(0.0),
+    })
+    score = port_score(F.col("effective_ports"), F.col("coverage_ratio"), F.col("largest_cluster_share"), F.lit(float(speed_term)), low, high)
+    return full.withColumn("score", score).select(*(x.split()[0] for x in TRIALS.split(", ")))
 
 
 SHAPE = (
@@ -145,7 +159,7 @@ def sweep_waypoints(tol: DataFrame, gammas: Sequence[float], trial: Trial, *, we
     """A row for each gamma and pair of weights: compression, clusters of the feature points, network, and score.
 
     `tol` has the tolerances of all points (see trajectory.with_tolerance), so each gamma is a filter, and all gammas go
-    through the same few jobs together. Weights change the score only. The driver holds cells, at most k * k a gamma.
+    through the same few jobs together; one task makes the clusters of a gamma, of k * k cells at most. Weights change the score only.
     """
     spark, k = tol.sparkSession, trial.k
     tol = durable(tol)
@@ -163,26 +177,21 @@ def sweep_waypoints(tol: DataFrame, gammas: Sequence[float], trial: Trial, *, we
         return out
 
     placed = feats.withColumn("clique_x", cell("lon")).withColumn("clique_y", cell("lat"))
-    cells: dict[int, dict[tuple[int, int], int]] = {}
-    for g, x, y, n in placed.groupBy("g", "clique_x", "clique_y").count().toLocalIterator():
-        cells.setdefault(g, {})[x, y] = n
-    table, sums = [], []
-    for g, found in cells.items():
-        least = grid.threshold(extent[g].n, trial.r, trial.min_dense_points)
-        sizes: dict[int, int] = {}
-        for c, label in grid.label_cells((c for c, n in found.items() if n >= least), trial.neighbor_mode).items():
-            table.append((g, *c, g * k * k + label))  # clusters of all gammas have ids of their own
-            sizes[label] = sizes.get(label, 0) + found[c]
-        sums.append((g, float(gammas[g]), extent[g].n, sum(sizes.values()), len(sizes), max(sizes.values(), default=0)))
-    labels = spark.createDataFrame(table, "g int, clique_x int, clique_y int, cluster_id int")
+    limits = [(g, g, trial.neighbor_mode, grid.threshold(b.n, trial.r, trial.min_dense_points), float(gammas[g]), b.n) for g, b in extent.items()]
+    limit = spark.createDataFrame(limits, "g int, kind int, neighbor_mode int, threshold bigint, gamma double, feature_points bigint")  # a row a gamma
+    cells = placed.groupBy("g", "clique_x", "clique_y").agg(F.count("*").alias("n")).join(F.broadcast(limit), "g").where("n >= threshold")
+    found = durable(labelled_cells(cells.select("kind", "neighbor_mode", "clique_x", "clique_y", "n")))
+    # clusters of all gammas have ids of their own
+    labels = found.select(F.col("kind").alias("g"), "clique_x", "clique_y", (F.col("kind") * F.lit(k * k) + F.col("cluster_id")).cast("int").alias("cluster_id"))
     clustered = placed.join(labels, ["g", "clique_x", "clique_y"])
+    sizes = found.groupBy("kind", "cluster_id").agg(F.sum("n").alias("n")).groupBy(F.col("kind").alias("g")).agg(F.sum("n").alias("inside"), F.count("*").alias("n_clusters"), F.max("n").alias("largest_cluster_points"))
+    base = limit.select("g", "gamma", "feature_points").join(sizes, "g", "left").fillna(0)
     hulls = durable(network.boundaries(clustered))
     group = F.floor(F.col("cluster_id") / (k * k)).cast("int").alias("g")
     nodes = hulls.groupBy(group).agg(F.count("*").alias("nodes"))
     moved = network.transitions(clustered, hulls.select(F.col("cluster_id").alias("port_id")), keys=("g", "mmsi", "trajectory_id"), order=("point_order",))
     edges = moved.withColumn("g", F.floor(F.col("source_port") / (k * k)).cast("int")).groupBy("g", "source_port", "target_port").agg(F.count("*").alias("n")).groupBy("g").agg(F.count("*").alias("edges"), F.sum("n").alias("transitions"))
     cut = trajectory.lengths(feats, ["g", "trajectory_id"]).groupBy("g").agg(F.sum("length").alias("cut"))
-    base = spark.createDataFrame(sums, "g int, gamma double, feature_points bigint, inside bigint, n_clusters bigint, largest_cluster_points bigint")
     out = base.join(nodes, "g", "left").join(edges, "g", "left").join(cut, "g", "left").fillna(0, ["nodes", "edges", "transitions"]).drop("g")
     grid_w = F.explode(F.array(*(F.struct(F.lit(float(a)).alias("w1"), F.lit(float(b)).alias("w2")) for a, b in weights)))
     n, whole = F.lit(int(total.original_points or 0)), F.lit(float(total.whole or 0.0))

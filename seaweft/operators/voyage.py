@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RADIUS = 0.05
+from seaweft.checkpoints import durable
+
+#: Distance from a port that counts as being there, and ports that are broadcast, at most.
+RADIUS, BROADCAST_PORTS = 0.05, 100_000
 
 
 def label_ports(points: DataFrame, ports: DataFrame, radius: float = RADIUS) -> DataFrame:
     """Points with `port`, -1 away from all. Of several ports nearer than the radius the one with the highest `ordinal` counts.
 
-    A distance join by buckets as wide as the radius: a port is in nine of them, a point in one.
+    A distance join by buckets as wide as the radius: a port is in nine of them, a point in one. Each bucket is one row with
+    a list of its ports, so points are joined once and keep their partitioning where the ports are few enough to be
+    broadcast (they are counted first).
     """
     bucket = lambda c: F.floor(F.col(c) / radius).cast("int")
     steps = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
-    p = ports.select("ordinal", F.col("port_id").alias("port"), F.col("lon").alias("px"), F.col("lat").alias("py"), bucket("lon").alias("x"), bucket("lat").alias("y"))
-    p = p.withColumn("i", steps).withColumn("j", steps).select("ordinal", "port", "px", "py", (F.col("x") + F.col("i")).alias("bx"), (F.col("y") + F.col("j")).alias("by"))
-    q = points.withColumn("bx", bucket("lon")).withColumn("by", bucket("lat"))
-    dx, dy = F.col("lon") - F.col("px"), F.col("lat") - F.col("py")
-    hits = q.join(p, ["bx", "by"]).where(F.sqrt(dx * dx + dy * dy) < radius).groupBy("mmsi", "event_seq").agg(F.max_by("port", "ordinal").alias("port"))
-    return points.join(hits, ["mmsi", "event_seq"], "left").withColumn("port", F.coalesce("port", F.lit(-1)))
+    p = durable(ports.select("ordinal", F.col("port_id").alias("port"), F.col("lon").alias("px"), F.col("lat").alias("py"), bucket("lon").alias("x"), bucket("lat").alias("y")))
+    few = p.count() <= BROADCAST_PORTS
+    p = p.withColumn("i", steps).withColumn("j", steps).select((F.col("x") + F.col("i")).alias("__bx"), (F.col("y") + F.col("j")).alias("__by"), F.struct("ordinal", "port", "px", "py").alias("at"))
+    buckets = p.groupBy("__bx", "__by").agg(F.collect_list("at").alias("__ports"))
+
+    def inside(at: Column) -> Column:
+        dx, dy = F.col("lon") - at.px, F.col("lat") - at.py
+        return F.sqrt(dx * dx + dy * dy) < radius
+
+    near = F.array_max(F.transform(F.filter("__ports", inside), lambda at: F.struct(at.ordinal, at.port)))
+    q = points.withColumn("__bx", bucket("lon")).withColumn("__by", bucket("lat"))
+    hits = q.join(F.broadcast(buckets) if few else buckets, ["__bx", "__by"], "left")
+    return hits.withColumn("port", F.coalesce(near.port, F.lit(-1))).drop("__bx", "__by", "__ports")
 
 
 def islands(labelled: DataFrame) -> DataFrame:

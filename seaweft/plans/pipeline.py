@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,8 +75,8 @@ def tune_ports(points: DataFrame, region: Region, wanted: list[tuning.Trial] | N
     """Scores of the trials that have none yet, and the scores that there were."""
     todo = wanted or tuning.trials()
     if done is not None:
-        have = {(r.k, r.r, int(float(r.neighbor_mode)), r.min_dense_points) for r in done.select("k", "r", "neighbor_mode", "min_dense_points").distinct().collect()}
-        todo = [t for t in todo if (t.k, t.r, t.neighbor_mode, t.min_dense_points) not in have]
+        keys = points.sparkSession.createDataFrame([(i, *astuple(t)) for i, t in enumerate(todo)], "place int, k int, r double, neighbor_mode int, min_dense_points int")
+        todo = [todo[r.place] for r in tuning.pending(keys, done).orderBy("place").select("place").collect()]  # given trials only
     new = tuning.sweep_ports(ingest.stationary(points), todo, min_port_points=region.min_port_points, low=region.ports[0], high=region.ports[1])
     return new if done is None else done.unionByName(new, allowMissingColumns=True)
 

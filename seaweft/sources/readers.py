@@ -16,7 +16,7 @@ from seaweft.schema import RAW_CSV, canonical
 DAILY_NAMES = {
     "mmsi": "MMSI", "base_date_time": "BASEDATETIME", "longitude": "LON", "latitude": "LAT", "sog": "SOG", "cog": "COG",
     "heading": "HEADING", "vessel_name": "VESSELNAME", "imo": "IMO", "call_sign": "CALLSIGN", "vessel_type": "VESSELTYPE",
-    "status": "NAVSTATUS", "length": "LENGTH", "width": "WIDTH", "draft": "DRAFT", "cargo": "CARGO", "transceiver": "TRANSCEIVERCLASS",
+    "status": "NAVSTATUS", "length": "LENGTH", "width": "WIDTH", "draft": "DRAFT", "cargo": "CARGO", "transceiver": "TRANSCEIVER",
 }
 
 
@@ -39,16 +39,36 @@ def raw_csv(spark: SparkSession, glob: str) -> DataFrame:
     return df.select(*(F.col(n) for n in RAW_CSV.names if n in df.columns))
 
 
-def daily_csv(spark: SparkSession, glob: str) -> DataFrame:
-    """2025 daily files: unnamed columns dropped, the others under standard names."""
-    df = spark.read.option("header", True).csv(must_exist(spark, glob))
+def files(spark: SparkSession, glob: str, most: int | None = None) -> list[str]:
+    """Paths that a glob has, sorted, the first `most` of them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(must_exist(spark, glob))
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(str(x.getPath().toString()) for x in found)[:most]
+
+
+def newest(spark: SparkSession, glob: str) -> str:
+    """The path of a glob that was changed last; of equals the last by name."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(must_exist(spark, glob))
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return max((int(x.getModificationTime()), str(x.getPath().toString())) for x in found)[1]
+
+
+def daily_csv(spark: SparkSession, glob: str, max_files: int | None = None) -> DataFrame:
+    """2025 daily files (the first `max_files` by name): unnamed columns dropped, the others under standard names."""
+    df = spark.read.option("header", True).csv(files(spark, glob, max_files))
     kept = [c for c in df.columns if c.strip() and not c.startswith(("Unnamed", "_c"))]
     return df.select(*kept).withColumnsRenamed(DAILY_NAMES)
 
 
 def reports(spark: SparkSession, path: str, needed: Sequence[str] = ("lat", "lon", "mmsi")) -> DataFrame:
-    """A Parquet table of reports under canonical names; columns that aren't asked for aren't read."""
-    return canonical(spark.read.parquet(must_exist(spark, path)))
+    """A Parquet table of reports under canonical names; columns that aren't asked for aren't read.
+
+    Without one of the `needed` columns there is nothing to work on, which is an error.
+    """
+    out = canonical(spark.read.parquet(must_exist(spark, path)))
+    if missing := [c for c in needed if c not in out.columns]:
+        raise ValueError(f"{path} has no column for {', '.join(missing)}")
+    return out
 
 
 def column_names(spark: SparkSession, path: str) -> list[str]:
