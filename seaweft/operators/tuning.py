@@ -155,6 +155,15 @@ def by_parameter(results: DataFrame, name: str) -> DataFrame:
     return results.groupBy(name).agg(F.avg("score").alias("mean_score"), F.max("score").alias("max_score"), F.count("*").alias("n_trials")).orderBy(F.desc("mean_score"), name)
 
 
+def compare(results: DataFrame, names: Sequence[str] = ("gamma", "w1", "w2")) -> DataFrame:
+    """(parameter, value, mean_score, max_score, n_trials) of each value of each of the parameters."""
+    out = None
+    for name in names:
+        one = results.groupBy(F.col(name).cast("double").alias("value")).agg(F.avg("score").alias("mean_score"), F.max("score").alias("max_score"), F.count("*").alias("n_trials")).select(F.lit(name).alias("parameter"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def sweep_waypoints(tol: DataFrame, gammas: Sequence[float], trial: Trial, *, weights: Sequence[tuple[float, float]] = ((1.0, 1.0),), low: float | None = None, high: float | None = None) -> DataFrame:
     """A row for each gamma and pair of weights: compression, clusters of the feature points, network, and score.
 

@@ -525,3 +525,10 @@ def _waypoint_sql():
 def _(s, d):
     t = tuning.sweep_waypoints(tol(s, d), GAMMAS, tuning.Trial(100, 2e-3, 8), weights=((1.0, 1.0), (0.5, 2.0)))
     return _long(t.select("gamma", "w1", "w2", "feature_points", "n_clusters", "nodes", "edges", "transitions", F.round("ld_score", 6).alias("ld_score"), F.round("score", 6).alias("score")))
+
+
+@query("agg10_score_by_weight", f"SELECT w1, round(avg(score), 5) AS mean_score, round(max(score), 5) AS max_score, count(*) AS n_trials FROM ({_waypoint_sql()}) GROUP BY 1")
+def _(s, d):
+    t = tuning.sweep_waypoints(tol(s, d), GAMMAS, tuning.Trial(100, 2e-3, 8), weights=((1.0, 1.0), (0.5, 2.0)))
+    t = tuning.by_parameter(t.withColumn("score", F.round("score", 6)), "w1")
+    return t.select("w1", F.round("mean_score", 5).alias("mean_score"), F.round("max_score", 5).alias("max_score"), "n_trials")

@@ -86,9 +86,11 @@ def _(s, d):
     return ingest.first_report(hourly).select("mmsi", "event_seq")
 
 
-@query("fn12_imputation", _GAPS + " SELECT event_seq, coalesce(sog, (SELECT median(sog) FROM gp))::DOUBLE AS sog FROM gp")
+@query("fn12_imputation", _GAPS + """, gm AS (SELECT * EXCLUDE cog, CASE WHEN event_seq % 5 = 0 THEN NULL ELSE round(cog / 30) * 30 END AS cog FROM gp)
+    SELECT event_seq, coalesce(sog, (SELECT median(sog) FROM gm))::DOUBLE AS sog, coalesce(cog, (SELECT cog FROM gm WHERE cog IS NOT NULL GROUP BY cog ORDER BY count(*) DESC, cog LIMIT 1))::DOUBLE AS cog FROM gm""")
 def _(s, d):
-    return features.impute(_gaps(s, d), modes=()).select("event_seq", "sog")
+    gaps = _gaps(s, d).withColumn("cog", F.when(F.col("event_seq") % 5 != 0, F.round(F.col("cog") / 30) * 30))
+    return features.impute(gaps).select("event_seq", "sog", "cog")
 
 
 @query("agg16_quantiles_mode", sql.VALID + " SELECT round(quantile_cont(sog, 0.25), 6) AS q1, round(median(sog), 6) AS q2, round(quantile_cont(sog, 0.75), 6) AS q3, (SELECT cog FROM valid GROUP BY cog ORDER BY count(*) DESC, cog LIMIT 1) AS mode_cog FROM valid")
@@ -196,17 +198,25 @@ def _(s, d):
     return sinks.latest_status(log).select("run_id", "status", "seq")
 
 
-@query("flt12_completed_runs", "SELECT count(*) AS n FROM events WHERE event_type = 'purchase' AND user_id = 8")
+def _status_log(s, d):
+    return table(s, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("status"), F.lit(None).cast("string").alias("note"), F.col("event_id").alias("seq"))
+
+
+@query("flt12_completed_runs", "SELECT run_id FROM (SELECT user_id::VARCHAR AS run_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1) WHERE status = 'purchase'")
 def _(s, d):
-    return table(s, d, "events").where((F.col("event_type") == "purchase") & (F.col("user_id") == 8)).agg(F.count("*").alias("n"))
+    return sinks.runs_with(_status_log(s, d), "purchase").select("run_id")
 
 
-@query("fn20_edge_style", "SELECT l_orderkey, CASE WHEN l_discount < 0.33E0 * 0.1E0 THEN '#3b82f6' WHEN l_discount < 0.66E0 * 0.1E0 THEN '#f59e0b' ELSE '#ef4444' END AS colour, count(*) AS n FROM lineitem GROUP BY ALL")
+@query("fn20_edge_style", """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber,
+      CASE WHEN l_discount::DOUBLE / 0.1E0 < 0.33E0 THEN '#3b82f6' WHEN l_discount::DOUBLE / 0.1E0 < 0.66E0 THEN '#f59e0b' ELSE '#ef4444' END AS colour,
+      round(1E0 + 7E0 * (l_quantity::DOUBLE / 50E0), 6) AS width, round(5E0 + 17E0 * sqrt(greatest(l_quantity::DOUBLE, 1E0) / 50E0), 6) AS radius,
+      'rgba(' || floor(255E0 + l_quantity::DOUBLE / 50E0 * -221E0)::BIGINT || ',' || floor(59E0 + l_quantity::DOUBLE / 50E0 * 138E0)::BIGINT || ',' || floor(59E0 + l_quantity::DOUBLE / 50E0 * 35E0)::BIGINT || ',0.25)' AS score_colour FROM lineitem""")
 def _(s, d):
-    li = table(s, d, "lineitem")
-    share = F.col("l_discount").cast("double")
-    colour = F.when(share < F.lit(0.33) * F.lit(0.1), scalar.EDGE_COLOURS[0]).when(share < F.lit(0.66) * F.lit(0.1), scalar.EDGE_COLOURS[1]).otherwise(scalar.EDGE_COLOURS[2])
-    return li.groupBy("l_orderkey", colour.alias("colour")).agg(F.count("*").alias("n"))
+    n, share = F.col("l_quantity").cast("double"), F.col("l_discount").cast("double") / F.lit(0.1)
+    return _long(table(s, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", scalar.edge_colour(share).alias("colour"), F.round(scalar.edge_width(n, F.lit(50.0)), 6).alias("width"),
+        F.round(scalar.node_radius(n, F.lit(50.0)), 6).alias("radius"), scalar.score_colour(n, F.lit(0.0), F.lit(50.0)).alias("score_colour"),
+    ))
 
 
 # ---------------------------------------------------------------- the relational operators on the generic tables

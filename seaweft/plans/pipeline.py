@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import astuple, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seaweft.checkpoints import durable
 from seaweft.functions import geometry
-from seaweft.operators import corridor, grid, ingest, network, trajectory, tuning
+from seaweft.operators import corridor, features, grid, ingest, network, trajectory, tuning
 from seaweft.schema import canonical
-from seaweft.sources import sinks
+from seaweft.sources import readers, sinks
 
 
 @dataclass(frozen=True)
@@ -72,11 +72,12 @@ def run_corridors(points: DataFrame, layer: Layer, *, m: int = 15, radius: float
 
 
 def tune_ports(points: DataFrame, region: Region, wanted: list[tuning.Trial] | None = None, done: DataFrame | None = None) -> DataFrame:
-    """Scores of the trials that have none yet, and the scores that there were."""
+    """Scores of the trials that have none yet, and the scores that there were (of repeated ones the last by `attempt`)."""
     todo = wanted or tuning.trials()
     if done is not None:
         keys = points.sparkSession.createDataFrame([(i, *astuple(t)) for i, t in enumerate(todo)], "place int, k int, r double, neighbor_mode int, min_dense_points int")
         todo = [todo[r.place] for r in tuning.pending(keys, done).orderBy("place").select("place").collect()]  # given trials only
+        done = tuning.latest(done, "attempt") if "attempt" in done.columns else done
     new = tuning.sweep_ports(ingest.stationary(points), todo, min_port_points=region.min_port_points, low=region.ports[0], high=region.ports[1])
     return new if done is None else done.unionByName(new, allowMissingColumns=True)
 
@@ -87,6 +88,34 @@ def tune_waypoints(points: DataFrame, region: Region) -> DataFrame:
     return tuning.sweep_waypoints(tol, region.gammas, region.trial, weights=region.weights, low=region.waypoints[0], high=region.waypoints[1])
 
 
+def read_layer(spark: SparkSession, folder: str) -> Layer:
+    """The nodes and edges that `export` wrote in a folder, for corridors of ports or waypoints of an earlier run."""
+    nodes = readers.table_csv(spark, f"{folder}/nodes", "port_id int, lat double, lon double, area_deg2 double, n bigint")
+    edges = readers.table_csv(spark, f"{folder}/edges", "source_port int, target_port int, transition_count bigint, unique_vessels bigint")
+    none = spark.createDataFrame([], network.HULL)
+    return Layer(none.select("cluster_id"), none, nodes, edges)
+
+
+def daily_job(spark: SparkSession, glob: str, to: str, max_files: int | None = None, sog_max: float = ingest.SOG_MAX) -> DataFrame:
+    """Features of each daily file in `to`/processed_<file>, and a summary (file, rows_in, rows_out, columns, vessels).
+
+    The loop is over files, which are jobs of their own; `max_files` takes the first by name. The summary is written to
+    `to`/processing_summary.
+    """
+    rows = []
+    for path in readers.files(spark, glob, max_files):
+        raw = readers.daily_csv(spark, path)
+        name = path.rsplit("/", 1)[-1].split(".")[0]
+        out = f"{to.rstrip('/')}/processed_{name}"
+        features.engineer(ingest.first_report(ingest.valid_features(reports_of(raw, sog_max=sog_max)))).write.mode("overwrite").parquet(out)
+        made = spark.read.parquet(out)
+        n, vessels = made.agg(F.count("*"), F.countDistinct("mmsi")).first()
+        rows.append((name, raw.count(), n, len(made.columns), vessels))
+    summary = spark.createDataFrame(rows, "file string, rows_in bigint, rows_out bigint, columns int, vessels bigint")
+    sinks.single_csv(summary, f"{to.rstrip('/')}/processing_summary")
+    return summary
+
+
 def network_features(run_id: str, **layers: DataFrame) -> DataFrame:
     """(run_id, layer, geometry, properties): nodes, edges and routes of a run as GeoJSON features of one table."""
     out = None
@@ -109,6 +138,6 @@ def export(layer: Layer, folder: str, routes: DataFrame | None = None) -> None:
     sinks.single_csv(layer.nodes, f"{folder}/nodes")
     sinks.single_csv(layer.edges, f"{folder}/edges")
     sinks.text_file(sinks.boundaries_geojson(layer.hulls), f"{folder}/boundaries")
-    if routes is not None:
+    if routes is not None:  # hulls of a layer that was read are empty
         sinks.text_file(sinks.routes_geojson(routes), f"{folder}/rlsn_routes")
         sinks.text_file(sinks.corridors_geojson(routes), f"{folder}/rlsn_boundaries")

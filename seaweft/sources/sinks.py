@@ -74,6 +74,11 @@ def latest_status(log: DataFrame) -> DataFrame:
     return log.groupBy("run_id").agg(F.max_by("status", "seq").alias("status"), F.max_by("note", "seq").alias("note"), F.max("seq").alias("seq"))
 
 
+def runs_with(log: DataFrame, status: str) -> DataFrame:
+    """Runs whose latest status is the given one."""
+    return latest_status(log).where(F.col("status") == status)
+
+
 def ranked_nodes(nodes: DataFrame, count_name: str) -> DataFrame:
     """Nodes with rank (from 1), share rank and colour, the busiest first."""
     from seaweft.functions.scalar import node_radius, rank_colour

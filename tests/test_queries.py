@@ -44,10 +44,10 @@ def test_plans_have_no_product_of_tables(spark, name):
     assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
 
 
-def test_filters_and_columns_reach_the_scan(spark):
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     from seaweft.operators import ingest
     from pyspark.sql import functions as F
-    path = "/tmp/seaweft-scan-test"
+    path = str(tmp_path / "scan")
     from seaweft.plans.fixture import ais
     ais(spark, "/root/testdata/sf0.001").write.mode("overwrite").parquet(path)
     plan = ingest.in_box(spark.read.parquet(path), -100, 20, -80, 35).agg(F.count("mmsi"))._jdf.queryExecution().executedPlan().toString()
