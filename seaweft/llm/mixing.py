@@ -148,7 +148,12 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), total: float =
 
 
 def repeat(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it, with all their columns."""
+    """The rows of `docs`, each as often as the mix takes it, with all their columns.
+
+    Rows of one id and source are repeated alike, null ids and sources too; a document without words has the copies that its
+    source's rate and its draw give; an empty table stays empty. Texts are joined once and never copied into arrays. A
+    column called like one of the mix's keeps its own values.
+    """
     times = mixed.groupBy("doc_id", "source").agg(F.max("copies").alias("copies")).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies"))
     joined = docs.join(times.where("__copies > 0"), F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")))
     # one row for each copy; only the number is exploded, the text isn't copied into an array

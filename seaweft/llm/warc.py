@@ -8,6 +8,7 @@ attempt of a task uses; only the files that a finished task reports are read.
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import json
 import uuid
@@ -27,6 +28,8 @@ ROTATE, LEAST_REVISIT = 64 << 20, 100
 #: Compression of monolithic files, which don't last, and of members.
 FAST, SMALL = 1, 6
 CHUNK = 1 << 20
+#: Tasks that delete files, at most.
+DELETERS = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -227,7 +230,8 @@ def archive(pages: DataFrame, folder: str | None = None, *, least: int = LEAST_R
 
     A null payload is the empty payload; a null id or URL is left out of the record and null again when read; rows that
     repeat the smallest id of equal payloads are all responses. The folder must be one that all executors share; the
-    default is a new one in the shared folder. The monolithic files are deleted once all normalised ones are there.
+    default is a new one in the shared folder. The monolithic files are deleted, by tasks, once all normalised ones are there. Files that
+    failed attempts of a task left are never read; they stay until the folder is emptied, as does the folder.
     """
     spark = pages.sparkSession
     bound_batches(spark)
@@ -236,7 +240,14 @@ def archive(pages: DataFrame, folder: str | None = None, *, least: int = LEAST_R
     named = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"))
     whole = write_archives(revisits(named, least=least), folder, rotate=rotate)
     members = normalise(whole, folder)
-    system, _ = fs.FileSystem.from_uri(folder)
-    for row in whole.select("path").toLocalIterator():
-        system.delete_file(row.path)
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = fs.FileSystem.from_uri(folder)
+        for b in rows_of(batches):
+            for path in b.column(0).to_pylist():
+                with contextlib.suppress(FileNotFoundError):  # an attempt before this one may have got as far
+                    system.delete_file(path)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    whole.select("path").repartition(max(1, min(whole.count(), DELETERS))).mapInArrow(delete, "n bigint").agg(F.sum("n")).collect()
     return read_archives(members, folder)

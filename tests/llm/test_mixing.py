@@ -1,4 +1,11 @@
+import hashlib
+import math
+import re
+from collections import Counter
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seaweft.llm import mixing
 
@@ -35,6 +42,78 @@ def check(rows, most=None):
         assert abs(taken - target) <= largest + 1e-6
 
 
+def plain_pairs(units, seed):
+    """Round (id, size, part) in order, pair by pair: {id: 0 or 1}, and what is left (id, size, part) or None."""
+    draws = np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256(seed.encode()).digest()[:8], "little"))).random(len(units) + 1)
+    done, held = {}, None
+    for n, (i, size, p) in enumerate(units):
+        if not 0 < p < 1 or size == 0:
+            done[i] = int(p >= 1)
+        elif held is None:
+            held = (i, size, p)
+        else:
+            a, a_size, q = held
+            rise, fall = min((1 - q) * a_size, p * size), min(q * a_size, (1 - p) * size)
+            q_next, p_next = (q + rise / a_size, p - rise / size) if draws[n] < fall / (rise + fall) else (q - fall / a_size, p + fall / size)
+            whole = lambda x: abs(x - round(x)) < 1e-9
+            held = None
+            for who, s, x in ((a, a_size, q_next), (i, size, p_next)):
+                if whole(x):
+                    done[who] = round(x)
+                else:
+                    held = (who, s, x)
+    return done, held, draws[-1]
+
+
+@pytest.mark.parametrize("leaf,fan", [(4096, 512), (16, 4)])
+def test_mix_against_plain_loops(spark, monkeypatch, leaf, fan):
+    monkeypatch.setattr(mixing, "LEAF", leaf)
+    monkeypatch.setattr(mixing, "FAN", fan)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", F.lit(7)).alias("draw"), F.xxhash64("doc_id", F.lit(8)).alias("deal")).collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    aim = mixing.targets([(s, sum(size[r.doc_id] for r in by[s])) for s in order])
+    want = {}
+    width = max(-(-len(v) // leaf) for v in by.values())
+    for sid, s in enumerate(order):
+        total = sum(size[r.doc_id] for r in by[s])
+        rate = aim[s] / total if total else 0.0
+        leaves = max(1, -(-len(by[s]) // leaf))
+        now = {}
+        for r in by[s]:
+            want[r.doc_id] = math.floor(rate)
+            now.setdefault(r.deal % leaves, []).append((r.draw, size[r.doc_id], r.doc_id, rate - math.floor(rate)))
+        level, nodes = 0, width
+        while True:
+            left = {}
+            for node, units in now.items():
+                units.sort(key=lambda u: u[:2])
+                done, held, last = plain_pairs([(i, n, p) for _, n, i, p in units], f"7/{level}/{sid}/{node}")
+                for i, up in done.items():
+                    want[i] += up
+                if held and nodes == 1:
+                    want[held[0]] += int(last < held[2])
+                elif held:
+                    left.setdefault(node // fan, []).append((next(u[0] for u in units if u[2] == held[0]), held[1], held[0], held[2]))
+            if nodes == 1:
+                break
+            now, level, nodes = left, level + 1, -(-nodes // fan)
+    assert {r.doc_id: r.copies for r in mixing.mix(docs).collect()} == want
+
+
+def test_repeat_edge_rows(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 1), (1, "a b", "x", 2), (None, "c", None, 3), (2, None, "x", 4), (3, "w " * 200_000, "y", 5)], "doc_id bigint, text string, source string, copies int")
+    mixed = mixing.mix(df)
+    times = {(r.doc_id, r.source): r.copies for r in mixed.collect()}
+    got = Counter((r.doc_id, r.source, r.copies) for r in mixing.repeat(df, mixed).collect())
+    assert got == Counter({(r.doc_id, r.source, r.copies): times[r.doc_id, r.source] for r in df.collect() if times[r.doc_id, r.source]})
+    assert mixing.repeat(df.limit(0), mixing.mix(df.limit(0))).collect() == []
+
+
 @pytest.mark.parametrize("leaf,fan", [(4096, 512), (7, 3)])
 def test_sources_come_near_their_targets(spark, monkeypatch, leaf, fan):
     monkeypatch.setattr(mixing, "LEAF", leaf)
