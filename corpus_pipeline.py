@@ -1,7 +1,9 @@
 """Corpus preparation in five stages, each on all that its predecessor kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; a runner writes it as Parquet and reads it again as the
-next one's docs. All but the last return the columns of `documents`.
+next one's docs. All but the last return the columns of `documents`, and more columns if the input has more, whatever their
+names. An empty table stays empty in every stage. Texts are taken whole, however long. Rows with a null id are documents
+like others; rows that repeat an id are, too, except where a stage says otherwise.
 """
 
 from __future__ import annotations
@@ -17,27 +19,34 @@ from seaweft.llm.queries import RANKS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon scores at 0.3 or more go."""
+    """Documents that the lexicon scores at 0.3 or more go; at a tie with 0.3 they go. A null or empty text has no hits and stays."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the isolation forest reject go."""
+    """Documents that the base rules or the isolation forest reject go: a null or empty text has too few words, and goes."""
     return quality_rules.keep_good(docs, quality_rules.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: shingles of five words, similarity of about 0.8 or more."""
+    """One document of each group of near-duplicates stays: shingles of five words, similarity of 0.8 or more, tested exactly.
+
+    It is the one with the smallest id (null last; of equal ids the text with the lowest hash, of equal texts one row). Null and
+    empty texts are copies of each other.
+    """
     return simhash.keep_one(docs, simhash.near_duplicates_wide(docs, shingle=5))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight takes it: not at all, once or twice."""
+    """Each document as often as its source's target weight takes it: not at all, once or twice.
+
+    A null source is a source; rows of one id and source are taken alike.
+    """
     return mixing.repeat(docs, mixing.mix(docs))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to, for each copy."""
+    """Token counts and digests of the ids and of what they decode to, for each copy. A null text has no tokens."""
     return byte_bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
