@@ -5,7 +5,8 @@ MAX_BITS differing bits have a segment in which they differ by one bit at most.
 of its bits with that bit as a wildcard; equal entries are candidates, which are compared in whole and verified.
 
 The shuffle deals documents by half segments: a row for each segment and each half of it without the wildcard (a lot), and a
-task makes the entries of the other half itself. A candidate is emitted at the first entry only that it has in common.
+task makes the entries of the other half itself. A candidate is emitted at the first entry only that it has in common, and
+only if the task hasn't connected its ends.
 Runs of equal entries give all their links if they are short, else a spanning forest of tested links; in a run above
 BLOCK everything is tied to one row, untested. Ties make families, in which tested links decide (`verified`).
 """
@@ -231,6 +232,35 @@ class Index:
         return [(np.full(len(some), nodes[hub]), nodes[some], near[ok])] if len(some) else []
 
 
+class Trees:
+    """What a task has linked so far, so that it passes on no link that adds nothing; begun anew when it has grown large."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.above: dict[int, int] = {}
+        self.most = most
+
+    def _root(self, x: int) -> int:
+        above = self.above
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    def new(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the links (a, b, tested) that join something, the tested ones first."""
+        if len(self.above) > self.most:
+            self.above.clear()
+        a, b, tested = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(~tested, kind="stable")
+        a, b, tested = a[order], b[order], tested[order]
+        keep = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            x, y = self._root(x), self._root(y)
+            if x != y:
+                self.above[max(x, y)] = min(x, y)
+                keep[i] = True
+        return a[keep], b[keep], tested[keep]
+
+
 def forest(rows: np.ndarray, sigs: np.ndarray, near: Callable[[np.ndarray], np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Spanning forest of the near pairs of a run: each row is compared with those that no tree has reached yet."""
     left, out = rows, []
@@ -279,9 +309,9 @@ def whole_runs(batches: Iterator[pa.RecordBatch], read: Callable[[pa.RecordBatch
         yield [np.concatenate(c) for c in zip(*held)], False
 
 
-def _emit(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b, tested = (np.concatenate(x) for x in zip(*found))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(tested), pa.nulls(len(a), pa.int64())], ["a", "b", "tested", "lot"])
+def _emit(a: np.ndarray, b: np.ndarray, tested: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(tested), pa.nulls(len(a), pa.int64())], ["a", "b", "tested", "lot"])
 
 
 def links(kinds: DataFrame, *, max_bits: int = MAX_BITS, width: int = 1, most: int | None = None, listed_to: int = LISTED, block: int = BLOCK, lot: int = LOT, chunk: int = CHUNK) -> DataFrame:
@@ -308,14 +338,14 @@ def links(kinds: DataFrame, *, max_bits: int = MAX_BITS, width: int = 1, most: i
         return [*(c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]), _longs(b.column(b.num_columns - 1), width)]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given_up = None
+        given_up, trees = None, Trees()
         for (lots, nodes, sigs), long in whole_runs(batches, read, lot, chunk):
             if long:
                 if lots[0] != given_up:
                     given_up = lots[0]
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([given_up])], ["a", "b", "tested", "lot"])
             elif found := index.links(lots.view(np.uint64), nodes, sigs):
-                yield _emit(found)
+                yield from _emit(*trees.new(found))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
@@ -328,6 +358,7 @@ def links(kinds: DataFrame, *, max_bits: int = MAX_BITS, width: int = 1, most: i
 
     def compare_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub: tuple | None = None
+        trees = Trees()
         for cols, long in whole_runs(batches, read, block, chunk):
             entries, at, lots, nodes, sigs = cols
             lots = lots.view(np.uint64)
@@ -340,7 +371,7 @@ def links(kinds: DataFrame, *, max_bits: int = MAX_BITS, width: int = 1, most: i
                 mine = np.flatnonzero(joined[2] != joined[2][0])
                 found = index.tie(0, mine, joined[1].view(np.uint64), joined[2], joined[3], joined[0])
             if found:
-                yield _emit(found)
+                yield from _emit(*trees.new(found))
 
     dealt = kinds.select("node", "sig").mapInArrow(deal, "lot bigint, node bigint, sig binary")
     found = durable(dealt.repartition("lot").sortWithinPartitions("lot", "node").mapInArrow(compare, out))

@@ -62,15 +62,21 @@ def test_components_equal_brute_force(spark, limits, most):
     assert {x: roots.get(x, x) for x in signed} == brute_components(signed, [x & (1 << 64) - 1 for x in signed], most)
 
 
-def test_each_link_is_emitted_once(spark):
+def test_links_of_a_dense_group_are_few(spark, monkeypatch):
     centre = random.Random(1).getrandbits(64)
     fps = {centre ^ 1 << i for i in range(20)} | {centre}  # all within 2 bits: they share most entries
-    sigs = [(i, x.to_bytes(8, "little")) for i, x in enumerate(sorted(fps))]
-    kinds = spark.createDataFrame(sigs, "node bigint, sig binary")
-    pairs = [(r.a, r.b) for r in simhash.links(kinds).collect()]
-    assert len(pairs) == len({frozenset(p) for p in pairs}) == 21 * 20 // 2
-    assert len(simhash.links(kinds, listed_to=1).collect()) < 3 * 21  # forests of nearly the same trees
-    assert len(simhash.links(kinds, listed_to=1, block=4).collect()) < 6 * 21
+    kinds = spark.createDataFrame([(i, x.to_bytes(8, "little")) for i, x in enumerate(sorted(fps))], "node bigint, sig binary")
+    for limits in ({}, {"listed_to": 1}, {"listed_to": 1, "block": 4}, {"lot": 3}):
+        pairs = [(r.a, r.b) for r in simhash.links(kinds, **limits).collect()]
+        assert 20 <= len(pairs) <= 6 * 21, limits
+    index = simhash.Index(4, 1, 4)
+    nodes, sigs = np.arange(21), np.array(sorted(fps), np.uint64).reshape(-1, 1)
+    lots = index.lots(sigs)
+    found = [simhash.Index.links(index, np.sort(x), nodes[o], sigs[o]) for x in lots for o in [np.argsort(x, kind="stable")]]
+    pairs = [frozenset(p) for part in found for a, b, _ in part for p in zip(a.tolist(), b.tolist())]
+    assert len(pairs) == len(set(pairs)) == 21 * 20 // 2  # each link at one entry only
+    few = simhash.Trees().new([x for part in found for x in part])
+    assert len(few[0]) == 20
 
 
 def test_long_chain(spark):
