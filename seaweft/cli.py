@@ -37,6 +37,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--network", nargs="*", default=[], metavar="NAME=FOLDER", help="folders with the nodes and edges whose corridors are made")
     p.add_argument("--done", help="results of trials that aren't run again")
     p.add_argument("--newest", action="store_true", help="of what --summary matches, take the newest")
+    p.add_argument("--max-points", type=int, help="reports to take, the first by vessel and time, for a trial")
+    p.add_argument("--gammas", help="gammas of tune-waypoints, as a list")
     p.add_argument("--max-files", type=int, help="daily files to take, the first by name")
     p.add_argument("--overwrite", action="store_true")
     p.add_argument("--compression", default="zstd")
@@ -61,8 +63,8 @@ def main(argv: list[str] | None = None) -> None:
     if a.expected or a.expected_waypoints:
         region = replace(region, ports=tuple(a.expected or region.ports), waypoints=tuple(a.expected_waypoints or region.waypoints))
     trial = tuning.best_params(cli=(a.k, a.r, a.mode) if a.k and a.r else None, summary=summary, default=region.trial)
-    region = replace(region, trial=trial)
-    points = pipeline.reports_of(spark.read.parquet(readers.must_exist(spark, a.input)), region, a.sog_max)
+    region = replace(region, trial=trial, gammas=tuple(tuning.numbers(a.gammas)) if a.gammas else region.gammas)
+    points = pipeline.reports_of(spark.read.parquet(readers.must_exist(spark, a.input)), region, a.sog_max, a.max_points)
     if a.task == "features":
         features.engineer(ingest.first_report(ingest.valid_features(points))).write.mode("overwrite").parquet(a.out)
     elif a.task == "ports":

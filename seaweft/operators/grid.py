@@ -6,14 +6,15 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seaweft.checkpoints import durable
 from seaweft.operators.components import components
 
-#: Cells that the driver clusters itself, at most. A grid of k has at most k * k cells, whatever the number of points.
-DRIVER_CELLS = 4_000_000
+#: Cells that one task clusters, at most. A grid of k has at most k * k cells, whatever the number of points.
+TASK_CELLS = 4_000_000
 SPAN_FLOOR = 1e-12
 
 
@@ -83,11 +84,15 @@ def label_cells(cells: Iterable[tuple[int, int]], mode: int) -> dict[tuple[int,
     return {c: number[find(c)] for c in cells}
 
 
-def cluster_cells(dense: DataFrame, k: int, mode: int, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """(clique_x, clique_y, cluster_id) of dense cells: on the driver while the grid bounds their number, else by Spark."""
-    if k * k <= driver_cells:
-        found = label_cells(((r[0], r[1]) for r in dense.select("clique_x", "clique_y").collect()), mode)
-        return dense.sparkSession.createDataFrame([(x, y, c) for (x, y), c in found.items()], "clique_x int, clique_y int, cluster_id int")
+def cluster_cells(dense: DataFrame, k: int, mode: int, task_cells: int = TASK_CELLS) -> DataFrame:
+    """(clique_x, clique_y, cluster_id) of dense cells: in one task while the grid bounds their number, else by Spark."""
+    if k * k <= task_cells:
+        def label(pdf: pd.DataFrame) -> pd.DataFrame:
+            at = list(zip(pdf.clique_x.tolist(), pdf.clique_y.tolist()))
+            found = label_cells(at, mode)
+            return pdf.assign(cluster_id=[found[c] for c in at])
+
+        return dense.select("clique_x", "clique_y").groupBy(F.lit(0).alias("all")).applyInPandas(label, "clique_x int, clique_y int, cluster_id int")
     key = F.col("clique_x").cast("long") * k + F.col("clique_y")
     nodes = dense.select("clique_x", "clique_y", key.alias("a"))
     steps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets(mode))))
@@ -120,7 +125,7 @@ def clique(points: DataFrame, k: int = 30, r: float = 8e-5, mode: int = 4, min_d
     placed = with_cells(known, b, k)
     dense = placed.groupBy("clique_x", "clique_y").count().where(F.col("count") >= threshold(b.n, r, min_dense))
     labels = cluster_cells(dense, k, mode)
-    small = F.broadcast(labels) if k * k <= DRIVER_CELLS // 4 else labels
+    small = F.broadcast(labels) if k * k <= TASK_CELLS // 4 else labels
     return placed.join(small, ["clique_x", "clique_y"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1))).select(*points.columns, "clique_x", "clique_y", "cluster_id")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import astuple, dataclass
 from itertools import product
@@ -35,6 +36,19 @@ def trials(ks: Iterable[int] = KS, rs: Iterable[float] = RS, modes: Iterable[int
     return [Trial(int(k), float(r), grid.neighbour_mode(m), d) for k, r, m, d in product(ks, rs, modes, min_dense)]
 
 
+def numbers(text: str) -> list[float]:
+    """Numbers of a list written with commas, semicolons or spaces."""
+    return [float(x) for x in re.split(r"[,;\s]+", text) if x]
+
+
+def least_dense(value: object) -> int | None:
+    """A minimum of points as a whole number above 0; None if there is none."""
+    if value is None or str(value).strip().lower() in ("", "none", "nan"):
+        return None
+    n = int(float(str(value)))
+    return n if n > 0 else None
+
+
 def pending(wanted: DataFrame, done: DataFrame) -> DataFrame:
     """Trials without a result yet; the key is typed, so 4 and 4.0 are one mode, and a missing minimum equals another."""
     same = (F.col("w.k") == F.col("d.k")) & (F.col("w.r") == F.col("d.r")) & (F.col("w.neighbor_mode") == F.col("d.neighbor_mode").cast("int")) & F.col("w.min_dense_points").eqNullSafe(F.col("d.min_dense_points").cast("int"))

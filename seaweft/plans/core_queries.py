@@ -213,7 +213,7 @@ def _(s, d):
     st = still(s, d)
     b = grid.bounds(st)
     dense = grid.with_cells(st, b, K).groupBy("clique_x", "clique_y").count().where(F.col("count") >= grid.threshold(b.n, R))
-    return _long(grid.cluster_cells(dense, K, MODE, driver_cells=0).groupBy("cluster_id").agg(F.min("clique_x").alias("x"), F.min("clique_y").alias("y"), F.count("*").alias("cells")))
+    return _long(grid.cluster_cells(dense, K, MODE, task_cells=0).groupBy("cluster_id").agg(F.min("clique_x").alias("x"), F.min("clique_y").alias("y"), F.count("*").alias("cells")))
 
 
 @query("alg3_grid_density", sql.STILL + sql.clique("st", 720, 0.0, 8, least=10) + " SELECT cluster_id::BIGINT AS cluster_id, count(*) AS n FROM lab GROUP BY 1")

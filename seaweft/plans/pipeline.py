@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seaweft.checkpoints import durable
 from seaweft.functions import geometry
-from seaweft.operators import corridor, features, grid, ingest, network, trajectory, tuning
+from seaweft.operators import corridor, features, grid, ingest, network, sampling, trajectory, tuning
 from seaweft.schema import canonical
 from seaweft.sources import readers, sinks
 
@@ -36,13 +36,17 @@ class Layer:
     edges: DataFrame
 
 
-def reports_of(raw: DataFrame, region: Region | None = None, sog_max: float = ingest.SOG_MAX) -> DataFrame:
-    """Valid reports under canonical names, inside the region if it has a polygon; event_seq breaks ties of time."""
+def reports_of(raw: DataFrame, region: Region | None = None, sog_max: float = ingest.SOG_MAX, max_points: int | None = None) -> DataFrame:
+    """Valid reports under canonical names, inside the region if it has a polygon; event_seq breaks ties of time.
+
+    `max_points` is for trials on a part: the first reports by vessel and time. Without it nothing is left out.
+    """
     df = canonical(raw, keep_others="event_seq" in raw.columns)
     if "event_seq" not in df.columns:
         df = df.withColumn("event_seq", F.xxhash64(*df.columns))
     good = ingest.valid(ingest.drop_null_core(df), sog_max)
-    return clip(good, region.rings) if region and region.rings else good
+    good = clip(good, region.rings) if region and region.rings else good
+    return good if max_points is None else sampling.first_reports(good, max_points)
 
 
 def clip(df: DataFrame, rings: list) -> DataFrame:

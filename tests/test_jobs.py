@@ -175,3 +175,41 @@ def test_components_of_long_chains(spark):
     rng.shuffle(order)
     edges = spark.createDataFrame(list(zip(order, order[1:])), "a bigint, b bigint")
     assert {r.root for r in components.components(edges).collect()} == {0}
+
+
+def test_service_records_and_background_runs(spark, tmp_path):
+    from seaweft import service
+    store = service.Store(spark, str(tmp_path / "service"))
+    assert store.read("users").count() == 0
+    store.add("users", user_id=7, name="a", email="a@x", seq=1)
+    store.add("users", user_id=7, name="b", email="a@x", seq=2)
+    assert store.get("users", 7)["name"] == "b" and store.latest("users").count() == 1
+    with pytest.raises(KeyError):
+        store.get("users", 8)
+    day(tmp_path / "d.csv", 1)
+    with pytest.raises(ValueError):
+        service.upload(store, 7, str(tmp_path / "d.txt"))
+    with pytest.raises(KeyError):
+        service.upload(store, 8, str(tmp_path / "d.csv"))
+    assert service.uploaded(store, service.upload(store, 7, str(tmp_path / "d.csv"))).count() == 81
+    square = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}
+    assert store.get("regions", service.add_region(store, "r", json.dumps(square)))["name"] == "r"
+    back = service.Background(store)
+    assert back.start("one", "plsn", lambda: spark.range(5).count()).result(60) == 5
+    with pytest.raises(ZeroDivisionError):
+        back.start("two", "nlsn", lambda: 1 / 0).result(60)
+    with pytest.raises(ValueError):
+        back.start("three", "none", lambda: None)
+    assert {(r.run_id, r.status) for r in store.latest("runs").collect()} == {("one", "completed"), ("two", "failed")}
+    assert "division" in store.get("runs", "two")["note"]
+
+
+def test_parameter_helpers():
+    assert tuning.numbers("1e-3, 0.5;2") == [1e-3, 0.5, 2.0] and tuning.numbers("") == []
+    with pytest.raises(ValueError):
+        tuning.numbers("a,b")
+    assert [tuning.least_dense(x) for x in (None, "", "none", 0, -3, "7", 4.0)] == [None, None, None, None, None, 7, 4]
+
+
+def test_points_can_be_limited(spark, sf_dir):
+    assert pipeline.reports_of(ais(spark, sf_dir), max_points=17).count() == 17

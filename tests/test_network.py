@@ -43,12 +43,12 @@ def test_no_extent_and_no_points(spark):
     assert grid.clique(points(spark, []).drop("cluster_id")).collect() == []
 
 
-def test_driver_and_spark_number_clusters_alike(spark):
+def test_task_and_spark_number_clusters_alike(spark):
     rng = random.Random(5)
     dense = spark.createDataFrame(sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(320)}), "clique_x int, clique_y int")
     for mode in (4, 8):
         a = {tuple(r) for r in grid.cluster_cells(dense, 30, mode).collect()}
-        assert a == {tuple(r) for r in grid.cluster_cells(dense, 30, mode, driver_cells=0).collect()}
+        assert a == {tuple(r) for r in grid.cluster_cells(dense, 30, mode, task_cells=0).collect()}
 
 
 def test_components_of_a_chain_and_a_star(spark):
