@@ -185,8 +185,7 @@ def test_wide_at_the_threshold(spark):
     assert linked <= close and len(linked) >= 0.95 * len(close)
 
 
-@pytest.mark.parametrize("limits", [{}, {"weight": 4000, "block": 50, "lot": 400}])
-def test_wide_on_large_mixed_groups(spark, limits):
+def test_wide_on_large_mixed_groups(spark):
     """A template's texts of pairwise similarity about 0.7 to 0.9, a group of near copies of one text, and exact copies."""
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
@@ -204,7 +203,7 @@ def test_wide_on_large_mixed_groups(spark, limits):
         texts[len(texts)] = " ".join(template)
     sets = sets_of(texts)
     want = brute_classes(sets, similar_pairs(sets))
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), **limits).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates_wide(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
     assert got == want and 1 < len(set(want.values())) < 700
 
 
