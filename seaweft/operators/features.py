@@ -46,24 +46,26 @@ def changes(df: DataFrame) -> DataFrame:
 def fill(df: DataFrame, columns: Sequence[str], *, whole_table: bool = False) -> DataFrame:
     """Fill gaps forward, then backward, along a vessel's reports (or, as one sequence, along the whole table).
 
+    Only rows before the first known value are filled backward, so that value is the first of all: a frame that starts at
+    the current row would be gone through anew for each row.
+
     The whole table is cut into ranges of the sequence. Each is filled by a window of its own; what it takes from the
     ranges before and after it is found among one row for each range.
     """
     if not whole_table:
         w = Window.partitionBy("mmsi").orderBy("base_date_time", "event_seq")
-        past, rest = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-        return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(rest)) for c in columns})
+        past, every = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(every)) for c in columns})
     order = ["mmsi", "base_date_time", "event_seq"]
     ranges = durable(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     ends = ranges.groupBy("__range").agg(*(f(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("v")))).v.alias(f"__{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))))
     # a row for each range, in one task: as many as there are shuffle partitions
     every = Window.orderBy("__range")
     before, after = every.rowsBetween(Window.unboundedPreceding, -1), every.rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.select("__range", *(F.last(f"__hi_{c}", ignorenulls=True).over(before).alias(f"__before_{c}") for c in columns), *(F.first(f"__lo_{c}", ignorenulls=True).over(after).alias(f"__after_{c}") for c in columns))
-    w = Window.partitionBy("__range").orderBy(*order)
-    past, rest = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    carried = ends.select("__range", *(F.col(f"__lo_{c}").alias(f"__own_{c}") for c in columns), *(F.last(f"__hi_{c}", ignorenulls=True).over(before).alias(f"__before_{c}") for c in columns), *(F.first(f"__lo_{c}", ignorenulls=True).over(after).alias(f"__after_{c}") for c in columns))
+    past = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = ranges.join(F.broadcast(carried), "__range")
-    filled = joined.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.col(f"__before_{c}"), F.first(c, ignorenulls=True).over(rest), F.col(f"__after_{c}")) for c in columns})
+    filled = joined.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.col(f"__before_{c}"), F.col(f"__own_{c}"), F.col(f"__after_{c}")) for c in columns})
     return filled.select(*df.columns)
 
 

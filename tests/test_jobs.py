@@ -128,6 +128,15 @@ def test_whole_table_fill_over_ranges(spark):
     assert {r.event_seq: r.sog for r in features.fill(df, ["sog"], whole_table=True).collect()} == want
 
 
+def test_fill_has_no_frame_that_begins_at_each_row(spark):
+    """Such a frame is gone through anew for each row, which takes the square of a range."""
+    df = spark.createDataFrame([(1, "2025-01-01 00:00:00", i, None if i < 3 else float(i)) for i in range(6)], "mmsi int, base_date_time string, event_seq int, sog double")
+    for whole in (False, True):
+        filled = features.fill(df, ["sog"], whole_table=whole)
+        assert "currentrow$(), unboundedfollowing$()" not in filled._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert [r.sog for r in filled.orderBy("event_seq").collect()] == [3.0, 3.0, 3.0, 3.0, 4.0, 5.0]
+
+
 def test_one_hot_has_a_limit(spark, monkeypatch):
     monkeypatch.setattr(features, "MOST_COLUMNS", 3)
     with pytest.raises(ValueError):
