@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -41,14 +42,42 @@ def area_centroid(ring: np.ndarray) -> tuple[float, float, float]:
     return abs(float(twice)) / 2, float(cx + ring[0, 0]), float(cy + ring[0, 1])
 
 
-def segment_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distance of each point from the segment a-b; a segment without length is a point."""
-    d = b - a
-    length = float(d @ d)
+def segment_offsets(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each point is off the segment a-b along both axes; a segment without length is a point.
+
+    Every step is rounded on its own, relative to a, as SQL does it: dot products may fuse or reorder them, and then
+    points at equal distances are so no more.
+    """
+    (x, y), (dx, dy) = (p - a).T, b - a
+    length = dx * dx + dy * dy
     if length <= 1e-20:
-        return np.sqrt(((p - a) ** 2).sum(1))
-    t = np.clip(((p - a) @ d) / length, 0.0, 1.0)
-    return np.sqrt(((p - (a + t[:, None] * d)) ** 2).sum(1))
+        return x, y
+    t = np.clip((x * dx + y * dy) / length, 0.0, 1.0)
+    return x - dx * t, y - dy * t
+
+
+def segment_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each point from the segment a-b."""
+    x, y = segment_offsets(p, a, b)
+    return np.sqrt(x * x + y * y)
+
+
+def farthest(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
+    """The point farthest from the segment a-b, the first of equal ones, and its distance.
+
+    The squares of those in question are taken by pow of the C library, as SQL does: one in about 1,200 of them isn't
+    x * x to the last bit.
+    """
+    x, y = segment_offsets(p, a, b)
+    d = np.sqrt(x * x + y * y)
+    at = int(d.argmax())
+    dx, dy = b - a
+    if dx * dx + dy * dy <= 1e-20 or not math.isfinite(d[at]):
+        return at, float(d[at])
+    near = np.flatnonzero(d >= d[at] * (1 - 1e-14))
+    exact = [math.sqrt(math.pow(x[i], 2.0) + math.pow(y[i], 2.0)) for i in near]
+    best = max(exact)
+    return int(near[exact.index(best)]), best
 
 
 def rings_of(geojson: dict | str) -> list[list[list[float]]]:

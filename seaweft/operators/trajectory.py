@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seaweft.functions.geometry import segment_distance
+from seaweft.functions.geometry import farthest
 
 MAX_GAP_MINUTES, MIN_POINTS = 720.0, 5
 
@@ -57,9 +57,8 @@ def tolerances(xy: np.ndarray) -> np.ndarray:
         s, e, cap = todo.pop()
         if e - s < 2:
             continue
-        d = segment_distance(xy[s + 1 : e], xy[s], xy[e])
-        at = int(d.argmax())
-        cut, here = s + 1 + at, min(float(d[at]), cap)
+        at, d = farthest(xy[s + 1 : e], xy[s], xy[e])
+        cut, here = s + 1 + at, min(d, cap)
         tol[cut] = here
         if here == 0.0:  # all of the stretch lies on the line: nothing below is above 0 either
             continue
