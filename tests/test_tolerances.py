@@ -30,6 +30,7 @@ def differs(spark, root, name):
 
 @pytest.mark.parametrize("name", [
     "alg5_feature_points",
+    "alg5_tolerances",
 ])
 def test_ties_are_those_of_sql(spark, root, name):
     assert not differs(spark, root, name)
