@@ -29,6 +29,7 @@ def differs(spark, root, name):
 
 
 @pytest.mark.parametrize("name", [
+    "alg12_waypoint_sweep",
     "alg5_feature_points",
     "alg5_tolerances",
 ])
