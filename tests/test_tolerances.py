@@ -32,6 +32,7 @@ def differs(spark, root, name):
     "alg12_waypoint_sweep",
     "alg5_feature_points",
     "alg5_tolerances",
+    "alg6_ld_metrics",
 ])
 def test_ties_are_those_of_sql(spark, root, name):
     assert not differs(spark, root, name)
