@@ -7,25 +7,29 @@ documents whose score passes a threshold are rejected, and labelled rows calibra
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seaweft.llm.common import bound_batches, fit_once, labelled_sample, rows_of, text_list
+from seaweft.llm.common import bound_batches, durable, fit_once, rows_of, text_list
 
-#: Labelled rows that the forest and its threshold are fitted on, at most; trees; rows of a tree.
-FIT_ROWS, TREES, TREE_ROWS = 12_000, 128, 256
+#: Trees; rows of a tree, drawn from all labelled rows.
+TREES, TREE_ROWS = 128, 256
 #: Rows with a bad label in the sample of a tree.
 ODD_ROWS = 4
 #: The base rules: least words, and most words in repeated windows, in hundredths.
 MIN_WORDS, MAX_REPEAT = 20, 30
 #: Share of good labelled rows that the threshold may reject, at most.
 MAX_LOST = 0.004
+#: Thresholds are multiples of 1 / STEPS, so that counts of all scores have a bounded size.
+STEPS = 1_000_000
 SPACES, SYMBOLS, WINDOW = " \t\n\v\f\r", b"#*$%&|<>", 8
 CAPITALS, _BEYOND_ASCII = bytes(range(65, 91)), re.compile(r"[^\x00-\x7f]+").findall
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -97,6 +101,30 @@ def expected_path(n: float) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
+def depth_limit(rows: int) -> int:
+    return max(1, math.ceil(math.log2(max(rows, 2)))) + 2
+
+
+def grow_tree(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[list]:
+    """A tree of random splits over the rows of x: (feature, split, left child, path) of each node."""
+    nodes: list[list] = [[-1, 0.0, 0, 0.0]]
+    todo = [(0, x, 0)]
+    while todo:
+        at, part, depth = todo.pop()
+        low, high = part.min(0), part.max(0)
+        open_to = np.flatnonzero(high > low)
+        if len(part) < 2 or depth >= limit or not len(open_to):
+            nodes[at][3] = depth + expected_path(len(part))
+            continue
+        f = int(rng.choice(open_to))
+        s = float(rng.uniform(low[f], high[f]))
+        left = part[:, f] <= s
+        nodes[at][:3] = [f, s, len(nodes)]
+        todo += [(len(nodes), part[left], depth + 1), (len(nodes) + 1, part[~left], depth + 1)]
+        nodes += [[-1, 0.0, 0, 0.0], [-1, 0.0, 0, 0.0]]
+    return nodes
+
+
 @dataclass
 class Forest:
     """Trees as arrays (tree, node): what to split on, where, the left child (right follows), and the path at a leaf."""
@@ -110,34 +138,11 @@ class Forest:
     threshold: float = 1.0
 
     @classmethod
-    def grow(cls, x: np.ndarray, odd: np.ndarray | None = None, trees: int = TREES, rows: int = TREE_ROWS, odd_rows: int = ODD_ROWS, seed: int = 11) -> Forest:
-        """Trees over `rows` random rows of x each, and a few of `odd`, rows known to be bad: odd ones must stay rare."""
-        rng = np.random.default_rng(seed)
-        rows = min(rows, len(x))
-        odd = x[:0] if odd is None else odd
-        draw = lambda: np.concatenate([x[rng.choice(len(x), rows, replace=False)], odd[rng.choice(len(odd), min(odd_rows, len(odd)), replace=False)]])
-        limit = max(1, math.ceil(math.log2(max(rows, 2)))) + 2
-        made = []
-        for _ in range(trees):
-            nodes: list[list] = [[-1, 0.0, 0, 0.0]]
-            todo = [(0, draw(), 0)]
-            while todo:
-                at, part, depth = todo.pop()
-                low, high = part.min(0), part.max(0)
-                open_to = np.flatnonzero(high > low)
-                if len(part) < 2 or depth >= limit or not len(open_to):
-                    nodes[at][3] = depth + expected_path(len(part))
-                    continue
-                f = int(rng.choice(open_to))
-                s = float(rng.uniform(low[f], high[f]))
-                left = part[:, f] <= s
-                nodes[at][:3] = [f, s, len(nodes)]
-                todo += [(len(nodes), part[left], depth + 1), (len(nodes) + 1, part[~left], depth + 1)]
-                nodes += [[-1, 0.0, 0, 0.0], [-1, 0.0, 0, 0.0]]
-            made.append(nodes)
-        size = max(map(len, made))
-        full = np.array([nodes + [[-1, 0.0, 0, 0.0]] * (size - len(nodes)) for nodes in made])
-        return cls(full[:, :, 0].astype(np.int64), full[:, :, 1], full[:, :, 2].astype(np.int64), full[:, :, 3], limit, expected_path(rows) or 1.0)
+    def of(cls, trees: list[list[list]], rows: int) -> Forest:
+        """The forest of trees that were grown on `rows` rows each."""
+        size = max(map(len, trees))
+        full = np.array([nodes + [[-1, 0.0, 0, 0.0]] * (size - len(nodes)) for nodes in trees])
+        return cls(full[:, :, 0].astype(np.int64), full[:, :, 1], full[:, :, 2].astype(np.int64), full[:, :, 3], depth_limit(rows), expected_path(rows) or 1.0)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Anomaly score of each row, 0 to 1."""
@@ -151,38 +156,106 @@ class Forest:
         return 2 ** (-self.path[t, node].mean(1) / self.scale)
 
 
-def fit_rows(rows: list[tuple]) -> Forest | None:
-    """Grow a forest on (key, text, label) rows, and set its threshold by the labels.
+STATS = ("s0", "s1", "s2", "s3")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(h, good, the statistics) of every labelled document that passes the base rules; h is a hash of its id.
 
-    The threshold is the one with the best balanced accuracy among those that reject at most MAX_LOST of the good rows
-    that pass the base rules. Without rows of either label nothing is rejected.
+    Statistics are made before the join, so that no text is shuffled. Of several labels of an id the highest counts.
     """
-    x, y = [], []
-    for _, text, label in rows:
-        c = counts(text)
-        if not base_failed(c[0], c[4]):
-            x.append(statistics(text, c))
-            y.append(bool(label))
-    if len(x) < 8:
+    bound_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where("key is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches):
+            texts = text_list(b.column(1))
+            c = [counts(t) for t in texts]
+            ok = np.array([not base_failed(x[0], x[4]) for x in c], bool)
+            x = np.array([statistics(t, n) for t, n, k in zip(texts, c, ok) if k]).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), *map(pa.array, x.T)], ["key", *STATS])
+
+    found = source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATS))
+    marks = labels.select(F.col(id_col).alias("key"), (F.col("quality").cast("int") != 0).alias("good")).where("key is not null and good is not null")
+    return found.join(marks.groupBy("key").agg(F.max("good").alias("good")), "key").select(F.xxhash64("key").alias("h"), "good", *STATS)
+
+
+def _mixed(h: np.ndarray, tree: int) -> np.ndarray:
+    """The place of each row in a tree's draw: its hash mixed with the tree's number."""
+    x = h.astype(np.uint64) + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _threshold(step: np.ndarray, good: np.ndarray, n: np.ndarray) -> float:
+    """The threshold with the best balanced accuracy among those that reject at most MAX_LOST of the good rows; of equal ones the lowest."""
+    tries, at = np.unique(step, return_inverse=True)
+    above = [np.bincount(at, n * (good == k), len(tries)) for k in (True, False)]
+    totals = [a.sum() for a in above]
+    ok, bad = (t - np.cumsum(a) for t, a in zip(totals, above))
+    gain = np.where(ok <= int(MAX_LOST * totals[0]), bad / totals[1] - ok / totals[0], -np.inf)
+    best = int(gain.argmax())
+    return float((tries[best] + tries[best + 1]) // 2 / STEPS) if best + 1 < len(tries) else float(tries[best] / STEPS) + 0.01
+
+
+def fit(docs: DataFrame, labels: DataFrame, **cols: str) -> Forest | None:
+    """The forest of all documents that have a label in `quality`, and its threshold by the scores of all of them.
+
+    Each tree is a task's; its rows are the first of all good rows in an order of its own, and a few bad ones likewise: odd
+    rows must stay rare. Without rows of either label nothing is rejected.
+    """
+    x = durable(labelled(docs, labels, **cols))
+    spark = x.sparkSession
+    total = x.agg(F.count("*").alias("n"), F.count_if("good").alias("good")).first()
+    if total.n < 8:
         return None
-    stats, good = np.array(x), np.array(y)
-    mixed = good.any() and not good.all()
-    forest = Forest.grow(stats[good], stats[~good]) if mixed else Forest.grow(stats)
+    mixed = 0 < total.good < total.n
+    rows = min(TREE_ROWS, total.good if mixed else total.n)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first rows of a task in each tree's order."""
+        held = {}
+        for b in rows_of(batches):
+            h, good, *s = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            s = np.stack(s, 1)
+            for odd in (False, True):
+                part = (~good if odd else good) if mixed else np.full(len(h), not odd)
+                for tree in range(TREES if part.any() else 0):
+                    place, mine = _mixed(h[part].view(np.int64), tree), s[part]
+                    if (tree, odd) in held:
+                        place, mine = np.concatenate([held[tree, odd][0], place]), np.concatenate([held[tree, odd][1], mine])
+                    first = np.argsort(place, kind="stable")[: ODD_ROWS if odd else rows]
+                    held[tree, odd] = place[first], mine[first]
+        for (tree, odd), (place, mine) in held.items():
+            k = len(place)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, tree, np.int32)), pa.array(np.full(k, odd)), pa.array(place.view(np.int64)), *map(pa.array, mine.T.copy())], ["tree", "odd", "place", *STATS])
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf.tree.iloc[0])
+        pdf = pdf.assign(place=pdf.place.to_numpy().astype(np.uint64)).sort_values(["place", *STATS])
+        part = pd.concat([pdf[~pdf.odd].head(rows), pdf[pdf.odd].head(ODD_ROWS)])
+        nodes = grow_tree(part[list(STATS)].to_numpy(), depth_limit(rows), np.random.default_rng([11, tree]))
+        return pd.DataFrame({"tree": [tree], "nodes": [pickle.dumps(nodes, protocol=4)]})
+
+    kinds = "tree int, odd boolean, place bigint, " + ", ".join(f"{s} double" for s in STATS)
+    trees = x.mapInArrow(draw, kinds).groupBy("tree").applyInPandas(grow, "tree int, nodes binary").collect()
+    forest = Forest.of([pickle.loads(r.nodes) for r in sorted(trees, key=lambda r: r.tree)], rows)
     if mixed:
-        s = forest.score(stats)
-        ok, bad = np.sort(s[good]), s[~good]
-        least = ok[len(ok) - 1 - int(MAX_LOST * len(ok))]
-        tries = np.unique(s[s >= least])
-        cut = [((bad > t).mean() - (ok > t).mean(), -t) for t in tries]
-        best = -max(cut)[1]
-        above = tries[tries > best]
-        forest.threshold = float((best + above[0]) / 2) if len(above) else float(best) + 0.01
-    return forest
+        shared = spark.sparkContext.broadcast(forest)
 
+        def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in rows_of(batches):
+                s = shared.value.score(np.stack([c.to_numpy() for c in b.columns[2:]], 1))
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(np.ceil(s * STEPS).astype(np.int64))], ["good", "step"])
 
-def fit(docs: DataFrame, labels: DataFrame, *, bound: int = FIT_ROWS, **cols: str) -> Forest | None:
-    """The forest of at most `bound` documents that have a label in `quality`."""
-    return fit_once(labelled_sample(docs, labels, "quality", mod=None, held=0, bound=bound, **cols), fit_rows)
+        def choose(rows: list[tuple]) -> float:
+            step, good, n = map(np.array, zip(*rows))
+            return _threshold(step, good, n)
+
+        tally = x.mapInArrow(steps, "good boolean, step bigint").groupBy("step", "good").agg(F.count("*").alias("n"))
+        forest.threshold = fit_once(tally, choose)
+    return forest
 
 
 def _judge(texts: list[str], forest: Forest | None) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:

@@ -89,3 +89,15 @@ def test_edge_rows(spark):
     assert {(r.doc_id, r.n_words, r.n_repeat_words, r.kept) for r in quality_rules.apply(long, None).collect()} == {(1, 900_000, 900_000, False), (2, 200_000, 0, True)}
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert quality_rules.fit(df, none) is None
+
+
+def test_every_labelled_row_counts(spark):
+    """The bad rows come after 12,000 good ones in the order of the ids' hashes, by which rows were once chosen."""
+    from pyspark.sql import functions as F
+    ids = [r.id for r in spark.range(12_200).orderBy(F.xxhash64("id"), "id").collect()]
+    bad = set(ids[-150:])
+    docs = [(i, " ".join(f"{'#$|' if i in bad else ''}word{(i * 7 + j) % 97}" for j in range(20 + i % 5))) for i in ids]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in ids], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality_rules.apply(df, quality_rules.fit(df, labels)).where("kept").collect()}
+    assert len(kept & bad) < 15 and len(set(ids) - bad - kept) <= 0.004 * (len(ids) - 150)
