@@ -38,3 +38,17 @@ def differs(spark, root, name):
 ])
 def test_ties_are_those_of_sql(spark, root, name):
     assert not differs(spark, root, name)
+
+
+@pytest.fixture(scope="module")
+def copied(tmp_path_factory):
+    """Vessels of which every report is there six times."""
+    path = tmp_path_factory.mktemp("copied")
+    duckdb.sql(f"""COPY (SELECT event_id + i * 100000 AS event_id, ts, user_id, event_type, value, props
+        FROM '/root/testdata/sf0.1/events.parquet', range(6) r(i) WHERE user_id IN (31, 101, 104, 262, 598, 1396) ORDER BY event_id) TO '{path}/events.parquet' (FORMAT parquet)""")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["alg15_whole_vessel_tracks"])
+def test_ties_of_repeated_reports_are_those_of_sql(spark, copied, name):
+    assert not differs(spark, copied, name)
