@@ -49,6 +49,6 @@ def copied(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["alg15_whole_vessel_tracks", "agg7_compression_totals"])
+@pytest.mark.parametrize("name", ["alg15_whole_vessel_tracks", "agg7_compression_totals", "alg7_best_gamma"])
 def test_ties_of_repeated_reports_are_those_of_sql(spark, copied, name):
     assert not differs(spark, copied, name)
